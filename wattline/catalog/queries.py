@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.calendar import (
     add_calendar_features,
@@ -47,6 +46,7 @@ from ..sources.readers import (
 )
 from ..sources.sinks import shared_dir, write_metrics_csv, write_panel
 from . import tables as t
+from .rounding import Nudged, shown, sql_round
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,38 +71,6 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-class Nudged(int):
-    """Digits to round to after moving values off the halves.
-
-    Means of decimal readings often lie exactly half way between two rounded values,
-    where the last bit of a sum decides; a small common offset settles them.
-    """
-
-    @property
-    def offset(self) -> str:
-        return f"1.23e-{int(self) + 2}"
-
-
-def sql_round(expression: str, digits: int) -> str:
-    if isinstance(digits, Nudged):
-        expression = f"{expression} + {digits.offset}"
-    return f"round({expression}, {int(digits)})"
-
-
-def shown(df: DataFrame, **digits: int) -> DataFrame:
-    """Instants as UTC wall clocks, floating columns rounded as asked."""
-    cols: list[Column] = []
-    for f in df.schema.fields:
-        col = F.col(f.name)
-        if isinstance(f.dataType, T.TimestampType):
-            col = utc_wall(col)
-        if f.name in digits:
-            d = digits[f.name]
-            col = F.round(col + F.lit(float(d.offset)) if isinstance(d, Nudged) else col, int(d))
-        cols.append(col.alias(f.name))
-    return df.select(*cols)
-
-
 def readings(spark: SparkSession, sf: str, panel: str = "events") -> DataFrame:
     return drop_duplicate_readings(t.METERS[panel](spark, sf)).drop("ingest_order")
 

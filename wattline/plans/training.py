@@ -109,7 +109,7 @@ def forecast_horizon(
         .select("site_id", "__last.*")
     )
     origins = latest.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    ahead = F.unix_micros("timestamp") + F.col("step") * F.lit(step_micros(freq))
+    ahead = F.unix_micros("timestamp") + F.col("step") * F.lit(step_micros(freq)).cast("long")
     return (
         fitted.transform(origins)
         .withColumn("target_timestamp", F.timestamp_micros(ahead))
