@@ -271,7 +271,7 @@ def _(spark, sf):
 
 @register("build_dataset_lines", t.panel_sql("lines") + f" SELECT {_DEMAND} FROM filled")
 def _(spark, sf):
-    demand = build_dataset(t.meter_lines(spark, sf), frequency="1D", staged=True)
+    demand = build_dataset(t.meter_lines(spark, sf), frequency="1D")
     return shown(demand, value=FINE)
 
 
@@ -561,7 +561,7 @@ for _panel, _key, _digits, _roll, _roll_digits in (
         t.panel_sql(_panel) + _feature_sql("filled", False, (1, 7, 28), _roll, _digits),
     )
     def _(spark, sf, panel=_panel, digits=_digits, roll_digits=_roll_digits):
-        demand = build_dataset(t.METERS[panel](spark, sf), frequency="1D", staged=True)
+        demand = build_dataset(t.METERS[panel](spark, sf), frequency="1D")
         table = build_features(
             demand.drop("unit"),
             target_lags=(1, 7, 28),

@@ -9,29 +9,57 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .time import LOCAL_ZONE, local_wall
-
-
-def calendar_columns(wall: Column) -> dict[str, Column]:
-    """Calendar fields of a wall clock; Monday is day 0."""
-    weekday = F.weekday(wall)
-    return {
-        "hour": F.hour(wall),
-        "minute_of_day": F.hour(wall) * 60 + F.minute(wall),
-        "day_of_week": weekday,
-        "day_of_year": F.dayofyear(wall),
-        "month": F.month(wall),
-        "year": F.year(wall),
-        "is_weekend": (weekday >= 5).cast("int"),
-    }
+from .time import (
+    DAY_MICROS,
+    LOCAL_ZONE,
+    MINUTE_MICROS,
+    date_of,
+    floor_div,
+    local_date,
+    local_micros,
+)
+
+CALENDAR = (
+    "hour",
+    "minute_of_day",
+    "day_of_week",
+    "day_of_year",
+    "month",
+    "year",
+    "is_weekend",
+)
+
+
+def clock_columns(micros: Column) -> dict[str, Column]:
+    """Minute of the day and date of a wall clock given in microseconds."""
+    minute = floor_div(F.pmod(micros, F.lit(DAY_MICROS)), MINUTE_MICROS).cast("int")
+    return {"minute_of_day": minute, "__date": date_of(micros)}
 
 
 def add_calendar_features(
     df: DataFrame, timestamp_col: str = "timestamp", zone: str = LOCAL_ZONE
 ) -> DataFrame:
-    """Add hour, minute_of_day, day_of_week, day_of_year, month, year, is_weekend."""
-    with_wall = df.withColumn("__wall", local_wall(timestamp_col, zone))
-    return with_wall.withColumns(calendar_columns(F.col("__wall"))).drop("__wall")
+    """Add hour, minute_of_day, day_of_week (Monday is 0), day_of_year, month, year, is_weekend.
+
+    Works on the microseconds of the local clock and on the local date, neither of
+    which depends on the session time zone.
+    """
+    clock = df.withColumn("__local", local_micros(timestamp_col, zone)).withColumns(
+        clock_columns(F.col("__local"))
+    )
+    weekday = F.weekday("__date")
+    made = clock.withColumns(
+        {
+            "hour": floor_div(F.col("minute_of_day"), 60).cast("int"),
+            "day_of_week": weekday,
+            "day_of_year": F.dayofyear("__date"),
+            "month": F.month("__date"),
+            "year": F.year("__date"),
+            "is_weekend": (weekday >= 5).cast("int"),
+        }
+    )
+    kept = [c for c in df.columns if c not in CALENDAR]
+    return made.select(*kept, *CALENDAR)
 
 
 # Prefix -> (source column, length of the cycle).
@@ -69,9 +97,7 @@ def add_holiday_features(
     if holidays is None:
         return df.withColumns({name: F.lit(0) for name in HOLIDAY_FLAGS})
     on, eve, after = HOLIDAY_FLAGS
-    dated = df.drop(*HOLIDAY_FLAGS).withColumn(
-        "__date", F.to_date(local_wall(timestamp_col, zone))
-    )
+    dated = df.drop(*HOLIDAY_FLAGS).withColumn("__date", local_date(timestamp_col, zone))
     if not isinstance(holidays, DataFrame):
         days = [F.lit(d).cast("date") for d in sorted({str(d)[:10] for d in holidays})]
 

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 LOCAL_ZONE = "Europe/London"
 
+DAY_MICROS = 86_400_000_000
+MINUTE_MICROS = 60_000_000
+
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 # Microseconds per frequency unit.
@@ -64,14 +67,30 @@ def utc_wall(ts: str | Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(_col(ts)), F.expr(_EPOCH))
 
 
+def local_micros(ts: str | Column, zone: str = LOCAL_ZONE) -> Column:
+    """Wall clock of ``zone`` as microseconds since 1970 on that clock."""
+    return F.unix_micros(F.from_utc_timestamp(_col(ts), zone))
+
+
+def local_date(ts: str | Column, zone: str = LOCAL_ZONE) -> Column:
+    """Date of an instant on the wall clock of ``zone``."""
+    return date_of(local_micros(ts, zone))
+
+
+def date_of(micros: Column) -> Column:
+    """Date of a wall clock given in microseconds."""
+    return F.date_from_unix_date(floor_div(micros, DAY_MICROS).cast("int"))
+
+
 def local_wall(ts: str | Column, zone: str = LOCAL_ZONE) -> Column:
-    """An instant as the wall clock of ``zone``; correct across clock changes."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc_wall(ts))
+    """An instant as the wall clock of ``zone`` (``TIMESTAMP_NTZ``)."""
+    return utc_wall(F.from_utc_timestamp(_col(ts), zone))
 
 
 def floor_div(value: Column, size: int) -> Column:
     """Integer floor division of a long column, also for negative values."""
-    return F.call_function("div", value - F.pmod(value, F.lit(size)), F.lit(size))
+    unit = F.lit(size).cast("long")
+    return F.call_function("div", value - F.pmod(value, unit), unit)
 
 
 def period_index(ts: str | Column, step: int) -> Column:

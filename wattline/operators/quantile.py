@@ -1,10 +1,13 @@
 """Exact medians of groups of any size.
 
-The built-in exact median keeps every distinct value of a group in one hash map.
-Here values are counted first and the middle is found by narrowing down: counts of
-values rounded to 12 significant bits, then to 33 bits, then the values themselves.
-No step handles more than about two million rows of a group at a time, whatever
-the size of the group.
+Values are counted first: one pass over the data leaves one row per distinct value of
+a group, written once to the shared folder because several small steps read it.
+
+The built-in exact percentile keeps all distinct values of a group in one hash map.  It
+is used only after a check that no group has more than ``MAP_VALUES`` of them.  Beyond
+that the middle is found by narrowing down: counts of values rounded to 12 significant
+bits, then to 33 bits, then the values themselves.  No step of that handles more than
+about two million rows of a group, whatever the size of the group.
 """
 
 from __future__ import annotations
@@ -14,8 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
 from .blocks import key_list
 
+# Largest number of distinct values of a group handed to the built-in percentile.
+MAP_VALUES = 500_000
+
 # Copies of a one-row-per-group table when it meets a table of any size, so that no
 # single task receives a whole group.
 SALTS = 32
@@ -63,8 +70,13 @@ def _pick(counts: DataFrame, group: list[str], value: str) -> DataFrame:
     )
 
 
-def median_of_counts(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Median per group of a (keys, ``__v``, ``__n``) table of value counts."""
+def median_by_map(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Median per group of a table of value counts, by the built-in exact percentile."""
+    return counts.groupBy(*keys).agg(F.percentile("__v", F.lit(0.5), F.col("__n")).alias(name))
+
+
+def median_by_narrowing(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Median per group of a table of value counts (``__v``, ``__n``) of any size."""
     fine = counts.withColumn("__f", _rounded(F.col("__v"), 20))
     fine_counts = fine.groupBy(*keys, "__f").agg(F.sum("__n").alias("__n"))
     fine_counts = fine_counts.withColumn("__c", _rounded(F.col("__f"), 41))
@@ -93,13 +105,19 @@ def median_of_counts(counts: DataFrame, keys: list[str], name: str) -> DataFrame
 
 
 def median_and_mad(
-    df: DataFrame, column: str, keys: str | Sequence[str] = "site_id"
+    df: DataFrame, column: str, keys: str | Sequence[str] = "site_id", map_values: int = MAP_VALUES
 ) -> DataFrame:
-    """Per group: ``median`` and ``mad``, the median absolute deviation from it."""
+    """Per group: ``median`` and ``mad``, the median absolute deviation from it.
+
+    Runs the counting pass and the size check at once; the rest is lazy.
+    """
     keys = key_list(keys)
-    counts = value_counts(df, keys, F.col(column))
-    medians = median_of_counts(counts, keys, "median")
+    counts = stage(value_counts(df, keys, F.col(column)))
+    per_group = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    widest = per_group.agg(F.max("n")).first()[0] or 0
+    median = median_by_map if widest <= map_values else median_by_narrowing
+    medians = median(counts, keys, "median")
     deviations = join_facts(counts, medians, keys, "__v").select(
         *keys, F.abs(F.col("__v") - F.col("median")).alias("__v"), "__n"
     )
-    return medians.join(median_of_counts(deviations, keys, "mad"), keys)
+    return medians.join(median(deviations, keys, "mad"), keys)

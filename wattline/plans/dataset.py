@@ -32,20 +32,16 @@ def build_dataset(
     max_gap: int = 4,
     long_gaps: str = "partial",
     order_by=None,
-    staged: bool = False,
 ) -> DataFrame:
     """Deduplicate, grid, flag, fill, then join the register and the weather.
 
     Outliers are flagged on raw values, before gaps are filled.  The gridded table
-    feeds four branches (value counts, deviations, block summary, rows); with
-    ``staged`` it is written once to the shared folder instead of being planned in
-    each of them, which is the better choice beyond a few million readings.
+    feeds three branches (value counts, block summary, rows), so it is written once to
+    the shared folder; everything after it is one plan.
     """
     validate_schema(meter)
     readings = drop_duplicate_readings(nan_to_null(meter), order_by).drop("ingest_order")
-    gridded = reindex_to_grid(readings, frequency)
-    if staged:
-        gridded = stage(gridded)
+    gridded = stage(reindex_to_grid(readings, frequency))
     demand = interpolate_short_gaps(
         gridded, "value", max_gap, long_gaps, grid=frequency, outlier_z=outlier_z
     )
@@ -58,4 +54,4 @@ def build_dataset(
 
 def write_dataset(meter: DataFrame, path: str, **params) -> str:
     """Build the processed table and write it, clustered by site and time."""
-    return write_panel(build_dataset(meter, staged=True, **params), path)
+    return write_panel(build_dataset(meter, **params), path)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.calendar import calendar_columns
-from ..functions.time import LOCAL_ZONE, local_wall
+from ..functions.calendar import add_calendar_features
+from ..functions.time import LOCAL_ZONE
 
 
 def load_profile(
@@ -15,13 +15,9 @@ def load_profile(
     """Mean demand by local time of day, weekdays and weekends apart."""
     if site_id is not None:
         df = df.where(F.col("site_id") == site_id)
-    fields = calendar_columns(F.col("__wall"))
+    dated = add_calendar_features(df.select("timestamp", value), "timestamp", zone)
     return (
-        df.withColumn("__wall", local_wall("timestamp", zone))
-        .groupBy(
-            (fields["is_weekend"] == 1).alias("is_weekend"),
-            fields["minute_of_day"].alias("minute_of_day"),
-        )
+        dated.groupBy((F.col("is_weekend") == 1).alias("is_weekend"), "minute_of_day")
         .agg(F.avg(value).alias("mean_value"))
         .select(
             "is_weekend",
