@@ -114,7 +114,6 @@ def carry_known(
     df: DataFrame,
     keys: str | Sequence[str],
     column: str,
-    rows: int = BLOCK_ROWS,
     facts: DataFrame | None = None,
 ) -> DataFrame:
     """Add position and value of the previous and next known ``column``.
@@ -124,7 +123,7 @@ def carry_known(
     to the block summary and so reaches the rows without a join on the series alone.
     """
     keys = key_list(keys)
-    blocked = df.withColumn(BLOCK, own_block(rows))
+    blocked = df.withColumn(BLOCK, own_block(block_rows()))
     known_pos = F.when(F.col(column).isNotNull(), F.col(POS))
     edges = blocked.groupBy(*keys, BLOCK).agg(
         F.max(known_pos).alias("__lp"),

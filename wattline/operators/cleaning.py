@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import step_micros
-from .blocks import BLOCK_ROWS, POS, carry_known, with_positions
+from . import blocks
+from .blocks import POS, carry_known, with_positions
 from .quantile import join_facts, median_and_mad
 
 # Scales a median absolute deviation to a standard deviation (fixed value).
@@ -65,9 +66,9 @@ def site_grid(df: DataFrame, freq: str = "30min") -> DataFrame:
     cluster first, so one long series is not produced by one task.
     """
     step = step_micros(freq)
-    span = step * BLOCK_ROWS
+    span = step * blocks.BLOCK_ROWS
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stretch = span * max(1, min(BLOCK_ROWS, _ALL_TIME // span))
+    stretch = span * max(1, min(blocks.BLOCK_ROWS, _ALL_TIME // span))
     stretches = site_bounds(df).select(
         "site_id", "__hi", F.explode(F.sequence("__lo", "__hi", F.lit(stretch))).alias("__from")
     )
