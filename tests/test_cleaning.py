@@ -217,3 +217,21 @@ def test_hot_site_is_spread_over_tasks(spark, monkeypatch):
     per_task = grid.groupBy(F.spark_partition_id()).count().collect()
     assert len(per_task) == 4
     assert max(r["count"] for r in per_task) < 2500
+
+
+def test_weather_join_leaves_demand_rows_in_place(spark, tmp_path):
+    """After gap filling only the weather is shuffled for the join."""
+    meter = to_spark(spark, gappy().dropna().assign(unit="kWh"))
+    weather = to_spark(spark, gappy(seed=8).rename(columns={"value": "temperature_c"}))
+    weather.write.parquet(str(tmp_path / "w"))
+    stored = spark.read.parquet(str(tmp_path / "w"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plans = [
+            build_dataset(meter, weather=w)._jdf.queryExecution().executedPlan().toString()
+            for w in (None, stored)
+        ]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans[1].count("Exchange ") == plans[0].count("Exchange ") + 1

@@ -290,3 +290,25 @@ def test_leakage_check():
         check_leakage(["value_lag_1", "value_lag_48"], "value", 48)
     with pytest.raises(ValueError, match="value_roll_mean_336"):
         check_leakage(["value_roll_mean_336"], "value", 48)
+
+
+def test_rows_without_a_site_are_kept_with_nulls(spark):
+    pdf = gappy(n=20, sites=("A",))
+    lost = pdf.iloc[[3, 4]].assign(site_id=None)
+    df = to_spark(spark, pd.concat([pdf, lost], ignore_index=True))
+    for grid in (None, "30min"):
+        out = add_target_lags(df, lags=(1,), grid=grid).toPandas()
+        assert len(out) == 22
+        assert out[out.site_id.isna()].value_lag_1.isna().all()
+
+
+def test_rows_without_a_time_come_last(spark):
+    pdf = pd.DataFrame(
+        {
+            "site_id": "A",
+            "timestamp": [pd.NaT, *pd.date_range("2025-01-01", periods=2, freq="30min", tz="UTC")],
+            "value": [9.0, 1.0, 2.0],
+        }
+    )
+    out = add_target_lags(to_spark(spark, pdf), lags=(1,)).toPandas().set_index("value")
+    assert out.value_lag_1[9.0] == 2.0 and out.value_lag_1[2.0] == 1.0

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import step_micros
 from ..operators.blocks import POS, with_positions
+from ..operators.quantile import join_facts
 from .base import PREDICTION, Fitted, Forecaster, spread_to_folds
 
 
@@ -87,10 +88,12 @@ class SeasonalNaive(Forecaster):
         df = df.drop(PREDICTION)
         if self.align == "position":
             sizes = history.groupBy(site).agg(F.max("__size").alias("__len"))
-            numbered = with_positions(df, site, ts).join(sizes, site, "left")
+            numbered = join_facts(with_positions(df, site, ts), sizes, site, POS)
             placed = numbered.withColumn("__slot", F.pmod(F.col(POS), F.col("__len")))
             lookup = history.select(site, F.col("__slot").cast("long").alias("__slot"), PREDICTION)
-            return placed.join(lookup, [site, "__slot"], "left").select(*df.columns, PREDICTION)
+            return join_facts(placed, lookup, [site, "__slot"], POS).select(
+                *df.columns, PREDICTION
+            )
         end = history.agg(F.max("train_end")).scalar()
         placed = df.withColumn("__end", end).withColumn(
             "__src", self._source(F.col(ts), F.col("__end"))

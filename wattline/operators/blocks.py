@@ -32,6 +32,9 @@ POS = "__pos"
 BLOCK = "__block"
 BLOCK_ROWS = 65_536
 
+# Bucket of rows without a timestamp: after all others.
+NO_TIME = 1 << 62
+
 # Time bucket used to number rows of a table that is not on a regular grid.
 BUCKET = "32 days"
 
@@ -46,11 +49,7 @@ def block_rows(lookback: int = 0) -> int:
 
 def prefix_offsets(counts: DataFrame, keys: list[str], block: str, n: str) -> DataFrame:
     """Rows of the same series in earlier blocks, per (series, block)."""
-    before = (
-        Window.partitionBy(*keys)
-        .orderBy(F.col(block).asc_nulls_last())
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
         *keys, block, F.coalesce(F.sum(n).over(before), F.lit(0).cast("long")).alias("__offset")
     )
@@ -72,21 +71,15 @@ def with_positions(
     if grid is not None:
         return df.withColumn(POS, period_index(ts, step_micros(grid)))
     keys = key_list(keys)
-    bucketed = df.withColumn("__bucket", period_index(ts, step_micros(bucket)))
+    number = F.coalesce(period_index(ts, step_micros(bucket)), F.lit(NO_TIME))
+    bucketed = df.withColumn("__bucket", number)
     counts = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    offsets = prefix_offsets(counts, keys, "__bucket", "__n").select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col("__bucket").alias("__b"),
-        "__offset",
-    )
+    offsets = prefix_offsets(counts, keys, "__bucket", "__n")
     inside = Window.partitionBy(*keys, "__bucket").orderBy(F.col(ts).asc_nulls_last())
     ranked = bucketed.withColumn("__rn", F.row_number().over(inside))
-    same = F.col("__bucket").eqNullSafe(F.col("__b"))
-    for i, k in enumerate(keys):
-        same = same & ranked[k].eqNullSafe(offsets[f"__k{i}"])
-    joined = ranked.join(offsets, same, "left")
+    joined = ranked.join(offsets, [*keys, "__bucket"], "left")
     return joined.withColumn(POS, F.col("__offset") + F.col("__rn") - 1).drop(
-        "__bucket", "__b", "__rn", "__offset", *[f"__k{i}" for i in range(len(keys))]
+        "__bucket", "__rn", "__offset"
     )
 
 
@@ -95,15 +88,20 @@ def own_block(rows: int) -> Column:
 
 
 def with_halo(df: DataFrame, lookback: int, lookahead: int = 0) -> tuple[DataFrame, int]:
-    """Copy rows into every block that looks back (or ahead) at them."""
+    """Copy rows into every block that looks back (or ahead) at them.
+
+    Rows without a position (no site, say) are kept and spread by their content.
+    """
     rows = block_rows(max(lookback, lookahead))
     first = floor_div(F.col(POS) - lookahead, rows) if lookahead else own_block(rows)
     last = floor_div(F.col(POS) + lookback, rows) if lookback else own_block(rows)
-    return df.withColumn(BLOCK, F.explode(F.sequence(first, last))), rows
+    spread = F.array((F.lit(-1) - F.pmod(F.xxhash64(*df.columns), F.lit(1000))).cast("long"))
+    blocks = F.when(F.col(POS).isNotNull(), F.sequence(first, last)).otherwise(spread)
+    return df.withColumn(BLOCK, F.explode(blocks)), rows
 
 
 def drop_halo(df: DataFrame, rows: int) -> DataFrame:
-    return df.where(F.col(BLOCK) == own_block(rows)).drop(BLOCK, POS)
+    return df.where(F.col(POS).isNull() | (F.col(BLOCK) == own_block(rows))).drop(BLOCK, POS)
 
 
 def block_window(keys: str | Sequence[str]) -> Window:
@@ -119,7 +117,7 @@ def carry_known(
     """Add position and value of the previous and next known ``column``.
 
     Adds ``__prev_pos, __prev_val, __next_pos, __next_val`` (a known row is its own
-    previous and next).  Needs ``__pos``.  ``facts``, one row per series, is attached
+    previous and next), and ``__block``.  Needs ``__pos``.  ``facts``, one row per series, is attached
     to the block summary and so reaches the rows without a join on the series alone.
     """
     keys = key_list(keys)
@@ -171,4 +169,4 @@ def carry_known(
             "__next_pos": F.coalesce("__np", "__cnp"),
             "__next_val": F.coalesce("__nv", "__cnv"),
         }
-    ).drop("__pp", "__pv", "__np", "__nv", "__cpp", "__cpv", "__cnp", "__cnv", BLOCK)
+    ).drop("__pp", "__pv", "__np", "__nv", "__cpp", "__cpv", "__cnp", "__cnv")

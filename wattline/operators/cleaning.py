@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import step_micros
 from . import blocks
-from .blocks import POS, carry_known, with_positions
+from .blocks import BLOCK, POS, carry_known, with_positions
 from .quantile import join_facts, median_and_mad
 
 # Scales a median absolute deviation to a standard deviation (fixed value).
@@ -123,6 +123,30 @@ def _filled(column: str, max_gap: int, long_gaps: str) -> Column:
     return F.when(F.col(column).isNotNull(), F.col(column)).when(size <= max_gap, line)
 
 
+def fill_blocks(
+    df: DataFrame,
+    column: str,
+    max_gap: int,
+    long_gaps: str,
+    grid: str | None,
+    outlier_z: float | None,
+) -> DataFrame:
+    """``interpolate_short_gaps`` with the rows still laid out by (site, ``__block``)."""
+    if long_gaps not in ("partial", "skip"):
+        raise ValueError(f"long_gaps must be 'partial' or 'skip', not {long_gaps!r}")
+    facts = None
+    columns = list(df.columns)
+    if outlier_z is not None:
+        facts = median_and_mad(df, column)
+        columns = [c for c in columns if c != "is_outlier"] + ["is_outlier"]
+        df = df.drop("is_outlier")
+    placed = with_positions(df, "site_id", "timestamp", grid)
+    near = carry_known(placed, "site_id", column, facts)
+    if facts is not None:
+        near = near.withColumn("is_outlier", _is_outlier(F.col(column), outlier_z))
+    return near.withColumn(column, _filled(column, max_gap, long_gaps)).select(*columns, BLOCK)
+
+
 def interpolate_short_gaps(
     df: DataFrame,
     column: str = "value",
@@ -139,19 +163,4 @@ def interpolate_short_gaps(
     already regular and saves numbering its rows.  With ``outlier_z`` the raw values
     are flagged first (as ``flag_outliers`` does) in the same pass.
     """
-    if long_gaps not in ("partial", "skip"):
-        raise ValueError(f"long_gaps must be 'partial' or 'skip', not {long_gaps!r}")
-    facts = None
-    columns = list(df.columns)
-    if outlier_z is not None:
-        facts = median_and_mad(df, column)
-        columns = [c for c in columns if c != "is_outlier"] + ["is_outlier"]
-    near = carry_known(
-        with_positions(df.drop("is_outlier") if facts is not None else df, "site_id", "timestamp", grid),
-        "site_id",
-        column,
-        facts=facts,
-    )
-    if facts is not None:
-        near = near.withColumn("is_outlier", _is_outlier(F.col(column), outlier_z))
-    return near.withColumn(column, _filled(column, max_gap, long_gaps)).select(*columns)
+    return fill_blocks(df, column, max_gap, long_gaps, grid, outlier_z).drop(BLOCK)

@@ -148,7 +148,10 @@ def add_lookback(
     ts: str = "timestamp",
     grid: str | None = None,
 ) -> DataFrame:
-    """Add every lag and rolling column in ``specs`` in one pass over the panel."""
+    """Add every lag and rolling column in ``specs`` in one pass over the panel.
+
+    Rows without a site belong to no series: they are kept, with nulls.
+    """
     specs = list(specs)
     if not specs:
         return df
@@ -174,4 +177,8 @@ def add_lookback(
         out = _moments(out, moments, w)
     if extremes:
         out = _extremes(out, extremes, w)
-    return drop_halo(out, rows).select(*keep, *names)
+    placed_rows = F.lit(True)
+    for k in key_list(keys):
+        placed_rows = placed_rows & F.col(k).isNotNull()
+    known = [F.when(placed_rows, F.col(n)).alias(n) for n in names]
+    return drop_halo(out, rows).select(*keep, *known)

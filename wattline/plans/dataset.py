@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..operators.cleaning import (
-    drop_duplicate_readings,
-    interpolate_short_gaps,
-    reindex_to_grid,
-)
+from ..functions.time import floor_div, period_index, step_micros
+from ..operators.blocks import BLOCK, block_rows
+from ..operators.cleaning import drop_duplicate_readings, fill_blocks, reindex_to_grid
 from ..schema import nan_to_null, validate_schema
 from ..sources.sinks import stage, write_panel
 
@@ -42,14 +40,20 @@ def build_dataset(
     validate_schema(meter)
     readings = drop_duplicate_readings(nan_to_null(meter), order_by).drop("ingest_order")
     gridded = stage(reindex_to_grid(readings, frequency))
-    demand = interpolate_short_gaps(
-        gridded, "value", max_gap, long_gaps, grid=frequency, outlier_z=outlier_z
-    )
+    demand = fill_blocks(gridded, "value", max_gap, long_gaps, frequency, outlier_z)
     if sites is not None:
         demand = join_sites(demand, sites)
     if weather is not None:
-        demand = join_weather(demand, weather)
-    return demand
+        # The block follows from the timestamp.  As a join key it lets the demand rows
+        # stay where the gap filling put them; only the weather is shuffled.
+        block = floor_div(period_index("timestamp", step_micros(frequency)), block_rows())
+        keys = ["site_id", "timestamp", BLOCK]
+        demand = demand.join(weather.withColumn(BLOCK, block), keys, "left")
+    return demand.select("site_id", "timestamp", *_others(demand))
+
+
+def _others(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("site_id", "timestamp", BLOCK)]
 
 
 def write_dataset(meter: DataFrame, path: str, **params) -> str:

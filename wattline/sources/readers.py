@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.time import utc_instant
+from ..functions.time import instant
 from ..schema import METER, SITES, WEATHER, nan_to_null
 
 
@@ -14,13 +14,13 @@ def _parse_instant(text: Column) -> Column:
     """ISO text as an instant: an offset is honoured, otherwise the text is UTC."""
     trimmed = F.trim(text)
     zoned = trimmed.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & (F.length(trimmed) > 10)
-    stamped = F.when(zoned, trimmed).otherwise(F.concat(trimmed, F.lit("+00:00")))
-    dated = F.when(F.length(trimmed) == 10, F.concat(trimmed, F.lit(" 00:00:00+00:00")))
-    return F.coalesce(dated, stamped).cast("timestamp")
+    return F.when(zoned, trimmed.cast("timestamp")).otherwise(
+        instant(trimmed.cast("timestamp_ntz"))
+    )
 
 
 def _read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
-    """CSV by column name; instants are parsed explicitly, NaN becomes null."""
+    """CSV with exactly this header; instants are parsed explicitly, NaN becomes null."""
     raw = T.StructType(
         [
             T.StructField(
