@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.sinks import stage
+
 PREDICTION = "prediction"
 
 
@@ -31,8 +33,10 @@ class Forecaster:
     ) -> DataFrame:
         """Test rows of all folds with ``fold`` and ``prediction``.
 
-        The general form fits once per fold; the number of folds is a parameter.
+        The general form fits once per fold; the number of folds is a parameter.  The
+        marked rows are written to the shared folder first, since every fold reads them.
         """
+        marked = stage(marked)
         found = marked.select(F.max("n_folds")).first()[0] or 0
         parts = []
         for fold in range(found):

@@ -7,13 +7,20 @@ from pyspark.sql import DataFrame
 from ..functions.time import floor_div, period_index, step_micros
 from ..operators.blocks import BLOCK, block_rows
 from ..operators.cleaning import drop_duplicate_readings, fill_blocks, reindex_to_grid
+from ..operators.quantile import join_facts
 from ..schema import nan_to_null, validate_schema
 from ..sources.sinks import stage, write_panel
 
 
 def join_sites(df: DataFrame, sites: DataFrame) -> DataFrame:
-    """Attach the site register.  Left join; Spark broadcasts it when it is small."""
-    return df.join(sites, "site_id", "left")
+    """Attach the site register.
+
+    Left join.  Spark broadcasts a register whose size it knows to be small; a bigger one
+    meets the readings of a site on several tasks.
+    """
+    return join_facts(df, sites, "site_id", "timestamp").select(
+        *df.columns, *[c for c in sites.columns if c != "site_id"]
+    )
 
 
 def join_weather(df: DataFrame, weather: DataFrame) -> DataFrame:
@@ -41,15 +48,19 @@ def build_dataset(
     readings = drop_duplicate_readings(nan_to_null(meter), order_by).drop("ingest_order")
     gridded = stage(reindex_to_grid(readings, frequency))
     demand = fill_blocks(gridded, "value", max_gap, long_gaps, frequency, outlier_z)
-    if sites is not None:
-        demand = join_sites(demand, sites)
+    columns = _others(demand)
     if weather is not None:
         # The block follows from the timestamp.  As a join key it lets the demand rows
         # stay where the gap filling put them; only the weather is shuffled.
         block = floor_div(period_index("timestamp", step_micros(frequency)), block_rows())
         keys = ["site_id", "timestamp", BLOCK]
         demand = demand.join(weather.withColumn(BLOCK, block), keys, "left")
-    return demand.select("site_id", "timestamp", *_others(demand))
+    if sites is not None:
+        demand = join_sites(demand, sites)
+        columns += _others(sites)
+    if weather is not None:
+        columns += _others(weather)
+    return demand.select("site_id", "timestamp", *columns)
 
 
 def _others(df: DataFrame) -> list[str]:
