@@ -1,11 +1,11 @@
 """Look-back features: lags and shifted rolling statistics.
 
 All features asked for in one call share one exchange and one sort.  A rolling
-window is built by doubling: statistics over 1, 2, 4, ... rows are merged from two
-halves, and a window of ``n`` rows is the merge of the powers of two in ``n``.  The
-work per row grows with log2(n) instead of n, and since nothing is ever subtracted
-(counts, means and squared deviations are merged pairwise) a spike leaves no
-rounding error behind once it has left the window.
+window is built in levels: statistics over 1, 4, 16, ... rows are each merged from four
+neighbours of the level below, and a window of ``n`` rows is the merge of a few such
+pieces.  The work per row grows with log(n) instead of n, and since nothing is ever
+taken out of a running total (counts, means and squared deviations of disjoint pieces
+are merged) a spike leaves no rounding error behind once it has left the window.
 """
 
 from __future__ import annotations
@@ -13,10 +13,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_window, drop_halo, key_list, with_halo, with_positions
+from .blocks import BLOCK, POS, drop_halo, key_list, with_halo, with_positions
+
+
+# Pieces merged into one of the next level.
+RADIX = 4
 
 
 @dataclass(frozen=True)
@@ -39,106 +43,128 @@ class Rolling:
         return max(1, self.window // 4)
 
 
-def _merge(a: Sequence[Column], b: Sequence[Column]) -> tuple[Column, Column, Column]:
-    """Count, mean and sum of squared deviations of two disjoint sets of rows."""
-    n = a[0] + b[0]
-    delta = b[1] - a[1]
-    share = F.when(n > 0, b[0] / n).otherwise(F.lit(0.0))
-    return n, a[1] + delta * share, a[2] + b[2] + delta * delta * a[0] * share
+def _add(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add columns given as SQL text (one call per column, however long the text)."""
+    return df.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
-def _bits(n: int) -> list[int]:
-    return [j for j in reversed(range(n.bit_length())) if n >> j & 1]
+def _merge(df: DataFrame, groups: dict[str, list[Sequence[str]]]) -> DataFrame:
+    """Merge counts, means and sums of squared deviations of disjoint sets of rows.
 
-
-def _moments(df: DataFrame, specs: list[Rolling], w) -> DataFrame:
+    ``groups`` maps an output pattern with one ``{}`` for n, m or q to the column names
+    (n, m, q) of its parts.
+    """
+    counts, means, squares = {}, {}, {}
+    for out, parts in groups.items():
+        n, m, q = (out.format(k) for k in "nmq")
+        total = " + ".join(f"{pn} * {pm}" for pn, pm, _ in parts)
+        counts[n] = " + ".join(pn for pn, _, _ in parts)
+        means[m] = f"CASE WHEN {n} > 0 THEN ({total}) / {n} ELSE 0D END"
+        squares[q] = " + ".join(f"{pq} + {pn} * ({pm} - {m}) * ({pm} - {m})" for pn, pm, pq in parts)
+    for step in (counts, means, squares):
+        df = _add(df, step)
+    return df
+
+
+def _pieces(n: int) -> list[tuple[int, int]]:
+    """Window of ``n`` rows as (level, offset) pieces of RADIX ** level rows."""
+    out, offset, level = [], 0, 0
+    while RADIX ** (level + 1) <= n:
+        level += 1
+    for j in range(level, -1, -1):
+        while n - offset >= RADIX**j:
+            out.append((j, offset))
+            offset += RADIX**j
+    return out
+
+
+def _moments(df: DataFrame, specs: list[Rolling], over: str) -> DataFrame:
     """Mean and standard deviation for every spec, level by level."""
-    sources = sorted({(s.column, s.shift) for s in specs})
-    tag = {src: f"__r{i}" for i, src in enumerate(sources)}
-    zero = F.lit(0.0)
-    shifted = {}
-    for (column, shift), t in tag.items():
-        value = F.col(column).cast("double")
-        shifted[f"{t}_v"] = F.lag(value, shift).over(w) if shift else value
-    df = df.withColumns(shifted)
-    level0 = {}
+    windows: dict[tuple[str, int], set[int]] = {}
+    for s in specs:
+        windows.setdefault((s.column, s.shift), set()).add(s.window)
+    tag = {src: f"__r{i}" for i, src in enumerate(windows)}
+
+    df = _add(
+        df,
+        {
+            f"{t}_v": f"lag(CAST(`{column}` AS DOUBLE), {shift}) {over}"
+            if shift
+            else f"CAST(`{column}` AS DOUBLE)"
+            for (column, shift), t in tag.items()
+        },
+    )
+    first = {}
     for t in tag.values():
-        level0[f"{t}_n0"] = F.when(F.col(f"{t}_v").isNull(), zero).otherwise(F.lit(1.0))
-        level0[f"{t}_m0"] = F.coalesce(F.col(f"{t}_v"), zero)
-        level0[f"{t}_q0"] = zero
-    df = df.withColumns(level0)
-    top = {src: max(s.window for s in specs if (s.column, s.shift) == src) for src in sources}
-    for j in range(max(top.values()).bit_length() - 1):
-        live = [tag[src] for src in sources if top[src] >= 2 << j]
-        df = df.withColumns(
-            {
-                f"{t}_{k}p": F.lag(f"{t}_{k}{j}", 1 << j, 0.0).over(w)
-                for t in live
-                for k in "nmq"
-            }
-        )
-        merged = {}
-        for t in live:
-            here = [F.col(f"{t}_{k}{j}") for k in "nmq"]
-            back = [F.col(f"{t}_{k}p") for k in "nmq"]
-            merged |= {f"{t}_{k}{j + 1}": c for k, c in zip("nmq", _merge(here, back))}
-        df = df.withColumns(merged).drop(*[f"{t}_{k}p" for t in live for k in "nmq"])
-    pieces = {}
-    for (column, shift), t in tag.items():
-        for n in sorted({s.window for s in specs if (s.column, s.shift) == (column, shift)}):
-            offset = 0
-            for j in _bits(n):
+        first[f"{t}_n0"] = f"CASE WHEN {t}_v IS NULL THEN 0D ELSE 1D END"
+        first[f"{t}_m0"] = f"coalesce({t}_v, 0D)"
+        first[f"{t}_q0"] = "0D"
+    df = _add(df, first)
+
+    top = {src: _pieces(max(sizes))[0][0] for src, sizes in windows.items()}
+    for j in range(max(top.values())):
+        live = [tag[src] for src in windows if top[src] > j]
+        back = {
+            f"{t}_{k}p{i}": f"lag({t}_{k}{j}, {i * RADIX**j}, 0D) {over}"
+            for t in live
+            for k in "nmq"
+            for i in range(1, RADIX)
+        }
+        groups = {
+            f"{t}_{{}}{j + 1}": [
+                [f"{t}_{k}{j}" for k in "nmq"],
+                *[[f"{t}_{k}p{i}" for k in "nmq"] for i in range(1, RADIX)],
+            ]
+            for t in live
+        }
+        df = _merge(_add(df, back), groups).drop(*back)
+
+    found, groups = {}, {}
+    for src, sizes in windows.items():
+        for n in sizes:
+            name = f"{tag[src]}_{n}"
+            groups[f"{name}_{{}}"] = [
+                [f"{name}_{k}at{offset}" for k in "nmq"] for _, offset in _pieces(n)
+            ]
+            for j, offset in _pieces(n):
                 for k in "nmq":
-                    level = F.col(f"{t}_{k}{j}")
-                    pieces[f"{t}_{n}_{k}{j}"] = (
-                        F.lag(level, offset, 0.0).over(w) if offset else level
+                    level = f"{tag[src]}_{k}{j}"
+                    found[f"{name}_{k}at{offset}"] = (
+                        f"lag({level}, {offset}, 0D) {over}" if offset else level
                     )
-                offset += 1 << j
-    df = df.withColumns(pieces)
-    totals = {}
-    for (column, shift), t in tag.items():
-        for n in sorted({s.window for s in specs if (s.column, s.shift) == (column, shift)}):
-            total = None
-            for j in _bits(n):
-                piece = tuple(F.col(f"{t}_{n}_{k}{j}") for k in "nmq")
-                total = piece if total is None else _merge(total, piece)
-            totals |= {f"{t}_{n}_{k}": c for k, c in zip("nmq", total)}
-    df = df.withColumns(totals)
+    df = _merge(_add(df, found), groups)
+
     out = {}
     for s in specs:
-        n, m, q = (F.col(f"{tag[s.column, s.shift]}_{s.window}_{k}") for k in "nmq")
+        n, m, q = (f"{tag[s.column, s.shift]}_{s.window}_{k}" for k in "nmq")
         if s.stat == "mean":
-            out[s.name] = F.when(n >= s.min_periods, m)
+            out[s.name] = f"CASE WHEN {n} >= {s.min_periods} THEN {m} END"
         else:
-            out[s.name] = F.when(n >= max(2, s.min_periods), F.sqrt(q / (n - 1)))
-    return df.withColumns(out)
+            out[s.name] = f"CASE WHEN {n} >= {max(2, s.min_periods)} THEN sqrt({q} / ({n} - 1)) END"
+    return _add(df, out)
 
 
-def _extremes(df: DataFrame, specs: list[tuple[Rolling, str]], w) -> DataFrame:
-    """Minimum and maximum; the two pieces of a window may overlap.
+def _extremes(df: DataFrame, specs: list[tuple[Rolling, str]], over: str) -> DataFrame:
+    """Minimum and maximum by doubling; the two pieces of a window may overlap.
 
     Each spec comes with the name of a rolling mean over the same rows, which is
     null exactly where too few values are known.
     """
     out = {}
     for i, (s, gate) in enumerate(specs):
-        pick = F.least if s.stat == "min" else F.greatest
+        pick = "least" if s.stat == "min" else "greatest"
         t = f"__x{i}"
-        value = F.col(s.column).cast("double")
-        df = df.withColumn(f"{t}_0", F.lag(value, s.shift).over(w) if s.shift else value)
+        df = _add(df, {f"{t}_0": f"lag(CAST(`{s.column}` AS DOUBLE), {s.shift}) {over}"})
         levels = s.window.bit_length() - 1
         for j in range(levels):
-            back = F.lag(f"{t}_{j}", 1 << j).over(w)
-            df = df.withColumn(f"{t}_b", back).withColumn(
-                f"{t}_{j + 1}", pick(F.col(f"{t}_{j}"), F.col(f"{t}_b"))
-            )
-        last = F.col(f"{t}_{levels}")
-        rest = s.window - (1 << levels)
+            df = _add(df, {f"{t}_b": f"lag({t}_{j}, {1 << j}) {over}"})
+            df = _add(df, {f"{t}_{j + 1}": f"{pick}({t}_{j}, {t}_b)"})
+        last, rest = f"{t}_{levels}", s.window - (1 << levels)
         if rest:
-            df = df.withColumn(f"{t}_e", F.lag(last, rest).over(w))
-            last = pick(last, F.col(f"{t}_e"))
-        out[s.name] = F.when(F.col(gate).isNotNull(), last)
-    return df.withColumns(out)
+            df = _add(df, {f"{t}_e": f"lag({last}, {rest}) {over}"})
+            last = f"{pick}({last}, {t}_e)"
+        out[s.name] = f"CASE WHEN {gate} IS NOT NULL THEN {last} END"
+    return _add(df, out)
 
 
 def add_lookback(
@@ -163,22 +189,24 @@ def add_lookback(
     )
     names = [s.name for s in specs]
     keep = [c for c in df.columns if c not in names]
-    placed, rows = with_halo(with_positions(df, keys, ts, grid), lookback)
-    w = block_window(key_list(keys))
-    lags = {s.name: F.lag(s.column, s.periods).over(w) for s in specs if isinstance(s, Lag)}
-    out = placed.withColumns(lags) if lags else placed
+    keys = key_list(keys)
+    out, rows = with_halo(with_positions(df, keys, ts, grid), lookback)
+    over = f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in [*keys, BLOCK])} ORDER BY {POS})"
+    lags = {
+        s.name: f"lag(`{s.column}`, {s.periods}) {over}" for s in specs if isinstance(s, Lag)
+    }
     rolling = [s for s in specs if isinstance(s, Rolling)]
     moments = [s for s in rolling if s.stat in ("mean", "std")]
     extremes = [
         (s, f"__gate{i}") for i, s in enumerate(s for s in rolling if s.stat in ("min", "max"))
     ]
     moments += [Rolling(s.column, s.window, "mean", gate, s.shift) for s, gate in extremes]
+    if lags:
+        out = _add(out, lags)
     if moments:
-        out = _moments(out, moments, w)
+        out = _moments(out, moments, over)
     if extremes:
-        out = _extremes(out, extremes, w)
-    placed_rows = F.lit(True)
-    for k in key_list(keys):
-        placed_rows = placed_rows & F.col(k).isNotNull()
-    known = [F.when(placed_rows, F.col(n)).alias(n) for n in names]
+        out = _extremes(out, extremes, over)
+    in_series = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
+    known = [F.expr(f"CASE WHEN {in_series} THEN `{n}` END").alias(n) for n in names]
     return drop_halo(out, rows).select(*keep, *known)

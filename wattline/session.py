@@ -30,6 +30,7 @@ def local_session(name: str = "wattline", cpus: int | str = 8) -> SparkSession:
         .appName(name)
         .config("spark.sql.shuffle.partitions", os.environ.get("WATTLINE_PARTITIONS", "8"))
         .config("spark.driver.memory", "12g")
+        .config("spark.driver.extraJavaOptions", os.environ.get("WATTLINE_JAVA_OPTIONS", ""))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
