@@ -44,7 +44,7 @@ from ..sources.readers import (
     read_site_metadata,
     read_weather,
 )
-from ..sources.sinks import shared_dir, write_metrics_csv, write_panel
+from ..sources.sinks import shared_dir, stage, write_metrics_csv, write_panel
 from . import tables as t
 from .rounding import Nudged, shown, sql_round
 
@@ -119,8 +119,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = write_panel(gridded(spark, sf, "orders"), shared_dir(spark))
-    stored = load_processed(spark, path)
-    return shown(stored.where(F.col("value").isNotNull()).select("site_id", "timestamp", "value"))
+    known = load_processed(spark, path).where(F.col("value").isNotNull())
+    return shown(known.select("site_id", "timestamp", "value"))
 
 
 @register(
@@ -223,7 +223,7 @@ for _panel, _key in (("events", "outlier_flags"), ("lines", "outlier_flags_lines
         _key, t.panel_sql(_panel) + " SELECT site_id, timestamp, value, unit, is_outlier FROM flagged"
     )
     def _(spark, sf, panel=_panel):
-        return shown(flag_outliers(gridded(spark, sf, panel)))
+        return shown(flag_outliers(stage(gridded(spark, sf, panel))))
 
 
 @register(
@@ -864,7 +864,7 @@ def _naive_preds(size: int, step: int) -> str:
     + _report_sql("readings", _naive_preds(336, _HALF_HOUR)),
 )
 def _(spark, sf):
-    report = backtest(SeasonalNaive(336), readings(spark, sf), extras=True, **FOLDS)
+    report = backtest(SeasonalNaive(336), stage(readings(spark, sf)), extras=True, **FOLDS)
     return shown(report, **METRIC_DIGITS)
 
 
@@ -877,7 +877,7 @@ def _(spark, sf):
 def _(spark, sf):
     model = SeasonalNaive(7, freq="1D")
     report = backtest(
-        model, readings(spark, sf, "orders"), by=["site_id"], extras=True, **FOLDS_DAILY
+        model, stage(readings(spark, sf, "orders")), by=["site_id"], extras=True, **FOLDS_DAILY
     )
     return shown(report, **dict.fromkeys(METRIC_DIGITS, 4))
 
@@ -905,7 +905,7 @@ preds AS (
 )
 def _(spark, sf):
     model = SeasonalNaive(336, align="position")
-    report = backtest(model, readings(spark, sf), unit="row", extras=True, **FOLDS)
+    report = backtest(model, stage(readings(spark, sf)), unit="row", extras=True, **FOLDS)
     return shown(report, **METRIC_DIGITS)
 
 
@@ -927,7 +927,7 @@ preds AS (
     + _report_sql("cal", _PROFILE_PREDS),
 )
 def _(spark, sf):
-    panel = add_calendar_features(readings(spark, sf))
+    panel = stage(add_calendar_features(readings(spark, sf)))
     report = backtest(
         ProfileMean(), panel, ["day_of_week", "minute_of_day"], extras=True, **FOLDS
     )
@@ -954,7 +954,7 @@ FROM preds p JOIN (SELECT fold, avg(d) AS s FROM d GROUP BY fold) s ON p.fold =
 )
 def _(spark, sf):
     report = backtest(
-        SeasonalNaive(336), gridded(spark, sf), season_length=336, extras=True, **FOLDS
+        SeasonalNaive(336), stage(gridded(spark, sf)), season_length=336, extras=True, **FOLDS
     )
     return shown(report.select("fold", "mae", "mase"), mae=6, mase=6)
 
@@ -967,15 +967,14 @@ def _(spark, sf):
     + " SELECT site_id, timestamp, y_true AS actual, y_pred AS forecast FROM preds",
 )
 def _(spark, sf):
-    return shown(forecast_vs_actual(backtest_predictions(SeasonalNaive(336), readings(spark, sf), **FOLDS)))
+    return shown(forecast_vs_actual(backtest_predictions(SeasonalNaive(336), stage(readings(spark, sf)), **FOLDS)))
 
 
 @register("metrics_csv_roundtrip", SQL["backtest_seasonal_naive"])
 def _(spark, sf):
-    report = backtest(SeasonalNaive(336), readings(spark, sf), extras=True, **FOLDS)
+    report = backtest(SeasonalNaive(336), stage(readings(spark, sf)), extras=True, **FOLDS)
     path = write_metrics_csv(shown(report, **METRIC_DIGITS), shared_dir(spark))
-    stored = shown(report).schema
-    return spark.read.schema(stored).option("header", True).csv(path)
+    return spark.read.schema(shown(report).schema).option("header", True).csv(path)
 
 
 # ---------------------------------------------------------------- fitted models
@@ -985,11 +984,10 @@ ALPHA = 10.0
 
 
 def lag_frame(spark: SparkSession, sf: str) -> DataFrame:
-    """Yesterday's reading and the time of day for every period of the grid."""
+    """Stored table: yesterday's reading and the time of day for every period of the grid."""
     lagged = add_target_lags(gridded(spark, sf).drop("unit"), lags=(48,), grid="30min")
-    return add_cyclical_features(add_calendar_features(lagged)).select(
-        "site_id", "timestamp", "value", *RIDGE_FEATURES
-    )
+    table = add_cyclical_features(add_calendar_features(lagged))
+    return stage(table.select("site_id", "timestamp", "value", *RIDGE_FEATURES))
 
 
 _FRAME_SQL = (

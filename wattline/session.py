@@ -6,13 +6,16 @@ import os
 
 from pyspark.sql import SparkSession
 
-# Runtime settings the plans are written for.  With the last one a join on (site,
-# instant, block) keeps rows already partitioned by (site, block) where they are;
-# without it results are the same and one more shuffle is made.
+# Runtime settings the plans are written for; results are the same without them.
+# requireAllClusterKeysForCoPartition: a join on (site, instant, block) keeps rows already
+# partitioned by (site, block) where they are, which saves a shuffle.
+# hugeMethodLimit: the JVM does not compile methods beyond 8000 bytes, so the wide feature
+# projections are better generated in parts (about twice as fast).
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
