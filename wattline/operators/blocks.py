@@ -35,8 +35,9 @@ BLOCK_ROWS = 65_536
 # Bucket of rows without a timestamp: after all others.
 NO_TIME = 1 << 62
 
-# Time bucket used to number rows of a table that is not on a regular grid.
-BUCKET = "32 days"
+# Time bucket used to number rows of a table that is not on a regular grid.  A day keeps
+# both sides small: the rows of one bucket, and the buckets of one series.
+BUCKET = "1 day"
 
 
 def key_list(keys: str | Sequence[str]) -> list[str]:
