@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import step_micros
 from ..models import Fitted, Ridge, build_model
-from ..operators.blocks import POS, block_window, drop_halo, with_halo, with_positions
+from ..operators.blocks import block_window, drop_halo, with_halo, with_positions
 from ..operators.folds import complete_cases, time_split
 from ..sources.models import load_model, save_model
 

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 # requireAllClusterKeysForCoPartition: a join on (site, instant, block) keeps rows already
 # partitioned by (site, block) where they are, which saves a shuffle.
 # hugeMethodLimit: the JVM does not compile methods beyond 8000 bytes, so the wide feature
-# projections are better generated in parts (about twice as fast).
+# projections are better generated in parts (between no gain and twice as fast here).
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
