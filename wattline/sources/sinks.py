@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,18 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder.
+    """A new folder under the cluster's checkpoint folder, owned by the session.
 
-    The session's ``spark.checkpoint.dir`` is used when set.  Otherwise (tests on one
-    machine) a local folder is made and remembered in the session.
+    The session's ``spark.checkpoint.dir`` is used when set; only a session on one machine
+    may leave it unset.  The folder is removed when the session's JVM ends; callers that
+    are done earlier call ``remove``.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="wattline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/wattline-{uuid.uuid4().hex}"
+        base = os.path.join(tempfile.gettempdir(), "wattline-checkpoints")
+    path = f"{base.rstrip('/')}/wattline-{uuid.uuid4().hex}"
+    place, fs = _place(spark, path)
+    fs.deleteOnExit(place)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``shared_dir`` named, once no frame reads it any more."""
+    place, fs = _place(spark, path)
+    fs.delete(place, True)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def stage(df: DataFrame, path: str | None = None) -> DataFrame:
