@@ -8,18 +8,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattline.llm import exact
+from wattline.llm import exact, mixing, neardup, packing, quality
 from wattline.llm.common import table
 from wattline.sources.sinks import stage
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose lines are mostly good."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose text, white space aside, a document with a smaller id has."""
+    """Without documents whose text, white space aside, one with a smaller id has."""
     return exact.drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near copies."""
+    return neardup.drop_near_copies(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources ask for."""
+    return mixing.repeat(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces of the mixed documents in sequences."""
+    return packing.pack(docs)
+
+
 STAGES = [
+    ("quality_classifier", quality_classifier),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mix_sources", mix_sources),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 # Trained models and iterations have no SQL form; tests compare with brute force.
