@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattline.llm import chat, exact, langid, mixing, neardup, packing, quality
+from wattline.llm import chat, exact, langid, media, mixing, neardup, packing, quality
 from wattline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
+
+
+@query("op3_media_jpeg")
+def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.stored(table(spark, sf_dir, "documents"))).drop("width", "height")
