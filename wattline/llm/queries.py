@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattline.llm import chat, exact, langid, media, mixing, neardup, packing, quality
+from wattline.llm import chat, exact, langid, licenses, media, mixing, neardup, packing, quality
 from wattline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_media_jpeg")
 def op3_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.stored(table(spark, sf_dir, "documents"))).drop("width", "height")
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
