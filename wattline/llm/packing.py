@@ -14,6 +14,7 @@ are dissolved, and their pieces are packed again, in groups of the same size.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -135,7 +136,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its ids and a 0; only longer ones than ``length`` are cut.  Null texts
+    A document is its ids and a 0; only longer ones than ``length`` (or than a piece that
+    costs ``cost`` alone) are cut.  Null texts
     are empty and give the 0 alone.  Without ``documents`` and ``cost`` the capacities are
     as many pieces and as much cost as a sequence of ``length`` tokens can have at all.
     Rows that repeat a document are packed as often as they come.  An empty table gives no
@@ -145,9 +147,10 @@ def pack(
     rows = docs.select(F.col(id_).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     same = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # Equal rows are counted and dealt one by one, so that they spread over the groups.
-    left = stage(cut(rows, tokenizer, length).groupBy(*same).agg(F.count("*").alias("n")))
+    cost = cost or float(length) ** 2
+    left = stage(cut(rows, tokenizer, min(length, math.isqrt(int(cost)))).groupBy(*same).agg(F.count("*").alias("n")))
     left = left.select(*same, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
-    run = _packer(length, documents or length, cost or float(length) ** 2, weights, rule)
+    run = _packer(length, documents or length, cost, weights, rule)
     done = None
     for turn in range(ROUNDS):
         total = left.agg(F.sum("length")).first()[0] or 0

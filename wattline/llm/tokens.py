@@ -1,9 +1,9 @@
-"""Token ids by a public tokenizer, with words that recur encoded once per worker.
+"""Token ids by a public tokenizer, with word pieces that recur encoded once per worker.
 
-The vocabulary's tokenizer splits at white space before it does anything else, so a text's
-ids are those of its words one after the other.  A worker remembers the ids of words, and
-below that of word pieces (letters, single digits, runs of signs) in plain Latin letters,
-which need no Unicode handling.  All other words go through the tokenizer as it is.
+The vocabulary's tokenizer lower-cases, cuts a text into pieces (letters, single digits, runs
+of signs) and encodes each piece by itself.  A worker remembers the ids of pieces.  Texts in
+plain Latin letters are cut here, which needs no Unicode handling; others are cut at white
+space, and their other words go through the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import types
 
 import numpy as np
 
-# Words a worker remembers; after that it starts anew.
-REMEMBERED = 600_000
+# Pieces, and words that need the whole tokenizer, a worker remembers; then it starts anew.
+REMEMBERED = 800_000
 
-# The split pattern of the vocabulary, on lower-case plain Latin words.
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
-# Words this pattern is right for: no letters that are not in it, no compositions.
-PLAIN = re.compile(r"[!-~À-ÖØ-Þà-öø-ÿ]+")
+# The split pattern of the vocabulary, for lower-case plain Latin text.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
+# Texts and words that this pattern is right for: no other letters or digits, nothing to
+# compose, no special tokens.
+PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+SPECIAL = "<|"
 # Python splits at these, the tokenizer does not.
 ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -53,38 +55,41 @@ class Encoder:
                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
             ]
         )
-        self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.words) + len(words) > REMEMBERED:
-            self.words, self.parts = {}, {}
-        plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w]
-        for w in words.difference(plain):
-            self.words[w] = self.whole(w)
-        split = [PARTS.findall(w.lower()) for w in plain]
-        new = list({p for parts in split for p in parts} - self.parts.keys())
+    def learn(self, parts: set[str]) -> None:
+        """Remember pieces that are as the split pattern leaves them."""
+        if len(self.parts) + len(parts) > REMEMBERED:
+            self.parts = {}
+        new = list(parts.difference(self.parts))
         if new:
             found = self.split.encode(" ".join(new), add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             at = (np.searchsorted(np.array(found.word_ids), np.arange(len(new) + 1)) * 4).tolist()
             self.parts.update(zip(new, [raw[i:j] for i, j in zip(at, at[1:])]))
-        of = self.parts.__getitem__
-        self.words.update(zip(plain, [b"".join(map(of, parts)) for parts in split]))
+
+    def word(self, word: str) -> bytes:
+        if word not in self.others:
+            if len(self.others) > REMEMBERED:
+                self.others = {}
+            self.others[word] = self.whole(word)
+        return self.others[word]
+
+    def mixed(self, text: str) -> bytes:
+        """A text that is not plain, word by word."""
+        if any(c in text for c in ODD):
+            return self.whole(text)
+        return b"".join(map(self.word, text.split()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        odd = [any(c in t for c in ODD) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd)]
-        asked = {w for words in split for w in words}
-        if len(self.words) + len(asked) > REMEMBERED:
-            self.learn(asked)
-        else:
-            self.learn(asked - self.words.keys())
-        of = self.words.__getitem__
-        return [self.whole(t) if o else b"".join(map(of, words)) for t, o, words in zip(texts, odd, split)]
+        cut = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) and SPECIAL not in t else None for t in texts]
+        self.learn({p for parts in cut if parts for p in parts})
+        of = self.parts.__getitem__
+        return [self.mixed(t) if parts is None else b"".join(map(of, parts)) for t, parts in zip(texts, cut)]
 
 
 def encoder(name: str) -> Encoder:
