@@ -8,10 +8,11 @@
    compared with the hub: first estimated by the sketch of the union, then exactly on the
    full sets.  Links make components.
 4. Other pairs of a list matter only across components.  In lists up to ``LIST`` members
-   they are compared one by one, a bounded number per member.  In longer ones, members
-   are described by their difference from the hub.  If one of two members is not linked to
-   the hub, the pair can be linked only if these differences overlap, and by how much is
-   known; so an inverted list of differences, rarest first, finds such pairs.
+   they are compared one by one, a bounded number per member.  In longer ones, if one of
+   two members is not linked to the hub, the pair can be linked only if their differences
+   from the hub overlap, and by how much is known; so an inverted list of differences,
+   rarest first, finds such pairs.  Differences from the hub are enough to compare two
+   members exactly.
 
 Nothing is left out: a pair is dropped only if it cannot reach the similarity, or, for sets
 larger than the sketch, if its sketches fall short by more than ``SIGMAS`` standard
@@ -38,6 +39,8 @@ SIGMAS = 4.25
 LIST = 64
 # Characters that a worker holds as arrays at once; a longer text is held alone.
 CHARS = 1_000_000
+# Bound of the bitmaps that tell which texts to read once more: 16 MB.
+MAX_BITS = 1 << 27
 # Stands for a missing id.
 LAST = 2**63 - 1
 
@@ -96,14 +99,57 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n long, digest binary, sketch array<long>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
+def bits_of(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A bitmap that has every id of ``ids`` and few others: its length in bits and words.
+
+    ``MAX_BITS`` bounds it.  A fuller one lets more strangers through, which are then read in
+    vain but do no harm.
+    """
+    size = 1 << 16
+    while size < MAX_BITS and size < 16 * ids.count():
+        size *= 2
+    at = ids.select(slot("id", size).alias("at"))
+    words = (
+        at.groupBy(F.shiftright("at", 6).alias("word"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+        .toPandas()
+    )
+    out = np.zeros(size >> 6, np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return size, out
+
+
+def slot(column: str, size: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(size))
+
+
+def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def full_sets(docs: DataFrame, width: int, wanted: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(id, values, hub) of the documents in ``wanted`` and some others.
+
+    The texts are read once more and stay where they are.  ``hub`` is true at least for the
+    ids in ``hubs``.
+    """
+    size, mine = bits_of(wanted)
+    hub_size, of_hubs = bits_of(hubs)
     sets = _each(width)
 
     def run(batches):
-        for ids, found in sets(batches):
-            yield pd.DataFrame({"id": ids, "values": [s.tobytes() for s in found]})
+        def chosen():
+            for pdf in batches:
+                yield pdf[has(mine, pdf["at"].to_numpy())]
+
+        hub_of = {}
+        for pdf in chosen():
+            hub_of = dict(zip(pdf["id"].tolist(), has(of_hubs, pdf["hub_at"].to_numpy()).tolist()))
+            for ids, found in sets([pdf]):
+                yield pd.DataFrame({"id": ids, "values": [s.tobytes() for s in found], "hub": [hub_of[i] for i in ids]})
 
-    return docs.mapInPandas(run, "id long, values binary")
+    rows = docs.select("id", "text", slot("id", size).alias("at"), slot("id", hub_size).alias("hub_at"))
+    return rows.mapInPandas(run, "id long, values binary, hub boolean")
 
 
 def needed(k: int, percent: int) -> Column:
@@ -137,75 +183,100 @@ def listed(classes: DataFrame, k: int, percent: int) -> DataFrame:
     ).select("at.value", "id", "n", "own")
 
 
-def _judge(percent: int, k: int, differences: bool):
-    """Compare pairs of sets: estimate by the union's sketch, then exactly."""
+def _judge_stars(percent: int, k: int):
+    """Compare members with their hub: estimate by the union's sketch, then exactly."""
     t = percent / 100
     floor = t - SIGMAS * (t * (1 - t) / k) ** 0.5
 
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             linked, apart = [], []
-            for x, y in zip(pdf["values_a"], pdf["values_b"], strict=True):
+            for x, y in zip(pdf["values"], pdf["hub_values"], strict=True):
                 x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                differ = np.setxor1d(x, y, assume_unique=True)
                 small = np.union1d(x[:k], y[:k])[:k]
                 both = np.isin(small, x[:k], assume_unique=True) & np.isin(small, y[:k], assume_unique=True)
-                ok = len(small) > 0 and both.sum() / len(small) >= floor
-                if ok:
-                    n = len(np.intersect1d(x, y, assume_unique=True))
-                    ok = 100 * n >= percent * (len(x) + len(y) - n)
-                linked.append(bool(ok))
-                apart.append(np.setxor1d(x, y, assume_unique=True) if differences else None)
-            out = pdf[["a", "b"]].assign(linked=linked)
-            yield out.assign(apart=apart) if differences else out
+                maybe = len(small) > 0 and both.sum() / len(small) >= floor
+                linked.append(bool(maybe and close(len(differ), len(x) + len(y), percent)))
+                apart.append(differ)
+            yield pdf[["hub", "id"]].assign(linked=linked, n_apart=[len(d) for d in apart], apart=apart)
 
     return run
 
 
-def judged(pairs: DataFrame, sets: DataFrame, percent: int, k: int, differences: bool = False) -> DataFrame:
-    """``pairs`` (a, b) with ``linked`` and, if asked for, the values only one of them has."""
-    end = lambda x: sets.select(F.col("id").alias(x), F.col("values").alias("values_" + x))
-    both = pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b")
-    schema = "a long, b long, linked boolean" + (", apart array<long>" if differences else "")
-    return both.mapInPandas(_judge(percent, k, differences), schema)
+def close(apart, both, percent: int):
+    """Whether two sets that differ in ``apart`` values and have ``both`` are linked."""
+    return (100 + percent) * apart <= (100 - percent) * both
+
 
+def judged_stars(stars: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+    """``stars`` (hub, id, ...) with ``linked`` and the values only one of both sets has."""
+    hubs = sets.filter("hub").select(F.col("id").alias("hub"), F.col("values").alias("hub_values"))
+    both = stars.select("hub", "id").join(sets.select("id", "values"), "id").join(hubs, "hub")
+    found = both.mapInPandas(_judge_stars(percent, k), "hub long, id long, linked boolean, n_apart int, apart array<long>")
+    return stars.join(found, ["hub", "id"])
 
-def sizes_allow(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
+def judged_pairs(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) among ``pairs`` (hub, a, b) of members of the hub's star.
 
-def across(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each short list that lie in two components."""
-    end = lambda x: lists.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component")])
+    Both sets' differences from the hub are known, and the sets differ from each other in
+    what only one of the differences has.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            apart = [
+                len(np.setxor1d(x, y, assume_unique=True)) for x, y in zip(pdf["apart_a"], pdf["apart_b"], strict=True)
+            ]
+            yield pdf.loc[close(np.array(apart, dtype=np.int64), pdf["both"].to_numpy(), percent), ["a", "b"]]
+
+    end = lambda x: stars.select("hub", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"))
+    rows = pairs.join(end("a"), ["hub", "a"]).join(end("b"), ["hub", "b"])
+    return rows.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), "apart_a", "apart_b").mapInPandas(
+        run, "a long, b long"
+    )
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """What sizes and distances from a common hub allow (the triangle inequality)."""
+    n_a, n_b, d_a, d_b = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"n_apart_{a}"), F.col(f"n_apart_{b}")
+    sizes = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+    return sizes & ((100 + percent) * F.abs(d_a - d_b) <= (100 - percent) * (n_a + n_b))
+
+
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, a, b) of members of short lists that lie in two components.
+
+    ``members``: value, hub, id, n, component, n_apart; the hub is not among them.
+    """
+    end = lambda x: members.select(
+        "value", "hub", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component", "n_apart")]
+    )
     return (
         end("a")
-        .join(end("b"), "value")
+        .join(end("b"), ["value", "hub"])
         .filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")))
-        .filter(sizes_allow("n_a", "n_b", percent))
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
-        .distinct()
+        .filter(may_link("a", "b", percent))
+        .select("hub", F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     )
 
 
 def by_difference(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs around one hub that may be linked though one of them is not linked to it.
+    """Pairs (hub, a, b) that may be linked though one of them is not linked to their hub.
 
-    ``stars``: hub, hub_n, id, n, component, linked, apart.  Two sets are linked if they
-    differ in at most a share c of their sizes' sum.  Their difference is what their
+    ``stars``: hub, hub_n, id, n, component, linked, n_apart, apart.  Two sets are linked if
+    they differ in at most a share c of their sizes' sum.  Their difference is what their
     differences from the hub do not have in common; from that follows how many values
     those must share at least.
     """
     c = (100 - percent) / (100 + percent)
-    n_apart = F.size("apart")
     least = F.when(
-        F.col("linked"), F.floor((n_apart + c * (F.col("hub_n") - F.col("n"))) / 2)
-    ).otherwise(F.floor((n_apart - c * (F.col("hub_n") + F.col("n"))) / 2))
-    rows = stars.select(
-        "hub", "id", "n", "component", "linked", n_apart.alias("n_apart"),
-        F.greatest(F.lit(1), least).alias("least"), F.explode("apart").alias("value"),
-    )
-    rows = stage(rows)
-    shared = stage(rows.groupBy("hub", "value").agg(F.count("*").alias("df")).filter("df > 1"))
+        F.col("linked"), F.floor((F.col("n_apart") + c * (F.col("hub_n") - F.col("n"))) / 2)
+    ).otherwise(F.floor((F.col("n_apart") - c * (F.col("hub_n") + F.col("n"))) / 2))
     keys = ["hub", "id", "n", "component", "linked", "n_apart", "least"]
+    rows = stars.withColumn("least", F.greatest(F.lit(1), least)).select(*keys, F.explode("apart").alias("value"))
+    shared = stage(rows.groupBy("hub", "value").agg(F.count("*").alias("df")).filter("df > 1"))
     front = (
         rows.join(shared, ["hub", "value"])
         .groupBy(*keys)
@@ -226,9 +297,8 @@ def by_difference(stars: DataFrame, percent: int) -> DataFrame:
         .join(end("b"), ["hub", "value"])
         .filter("component_a != component_b and (linked_b or id_a < id_b)")
         .filter(F.least("left_a", "left_b") >= shares - 1e-6)
-        .filter(sizes_allow("n_a", "n_b", percent))
-        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
-        .distinct()
+        .filter(may_link("a", "b", percent))
+        .select("hub", F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     )
 
 
@@ -240,35 +310,27 @@ def links_between(classes: DataFrame, docs: DataFrame, width: int, percent: int,
     lists = stage(listed(classes, k, percent))
     heads = stage(
         lists.groupBy("value")
-        .agg(F.min(F.struct("own", "id", "n")).alias("hub"), F.count("*").alias("members"))
+        .agg(F.min(F.struct("own", "id", "n")).alias("head"), F.count("*").alias("members"))
         .filter("members > 1")
-        .select("value", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n"), (F.col("members") > LIST).alias("long"))
+        .select("value", F.col("head.id").alias("hub"), F.col("head.n").alias("hub_n"), (F.col("members") > LIST).alias("long"))
     )
-    lists = lists.join(heads, "value")
-    wanted = lists.select("id").distinct()
-    sets = stage(full_sets(docs.join(wanted, "id", "left_semi"), width)).dropDuplicates(["id"])
-    stars = lists.filter("id != hub").groupBy("id", "n", "hub", "hub_n").agg(F.max("long").alias("long"))
-    stars = stage(stars)
-    pair = [F.col("hub").alias("a"), F.col("id").alias("b")]
-    short = stars.filter("not long").filter(sizes_allow("n", "hub_n", percent)).select(*pair)
-    first = stage(judged(short, sets, percent, k).filter("linked").select("a", "b"))
-    around = stage(judged(stars.filter("long").select(*pair), sets, percent, k, differences=True))
-    links = first.unionByName(around.filter("linked").select("a", "b"))
+    members = stage(lists.join(heads, "value").filter("id != hub").select("value", "hub", "hub_n", "long", "id", "n"))
+    stars = stage(members.groupBy("hub", "hub_n", "id", "n").agg(F.max("long").alias("long")))
+    hubs = stage(stars.select(F.col("hub").alias("id")).distinct())
+    wanted = stage(stars.select("id").unionByName(hubs).distinct())
+    sets = stage(full_sets(docs, width, wanted, hubs))
+    stars = stage(judged_stars(stars, sets, percent, k))
+    links = stars.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
     labels = components(links).withColumnRenamed("node", "id")
-    own_or = F.coalesce("component", "id").alias("component")
-    marked = lists.filter("not long").join(labels, "id", "left").select("value", "id", "n", own_or)
-    mixed = stage(marked.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y"))
-    rest = across(stage(marked.join(mixed, "value", "left_semi")), percent)
-    described = (
-        around.withColumnRenamed("a", "hub").withColumnRenamed("b", "id")
-        .join(stars.filter("long").select("id", "hub", "n", "hub_n"), ["hub", "id"])
-        .join(labels, "id", "left")
-        .select("hub", "hub_n", "id", "n", own_or, "linked", "apart")
-    )
-    rest = stage(rest.unionByName(by_difference(described, percent)).distinct())
-    more = stage(judged(rest, sets, percent, k).filter("linked").select("a", "b"))
-    return links.unionByName(more)
+    stars = stars.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marks = stage(stars.select("hub", "id", "component", "n_apart", "linked"))
+    short = members.filter("not long").join(marks, ["hub", "id"])
+    mixed = short.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
+    some = stage(short.join(mixed, "value", "left_semi").select("value", "hub", "id", "n", "component", "n_apart"))
+    rest = across(some, percent).unionByName(by_difference(stars.filter("long"), percent))
+    rest = stage(rest.groupBy("a", "b").agg(F.min("hub").alias("hub")))
+    return links.unionByName(judged_pairs(rest, stars, percent))
 
 
 def near_duplicates(
