@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tools.check import TABLES, compare
+from wattline.catalog.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,11 +23,11 @@ def con():
 
 
 def test_every_query_but_the_trees_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"gbt_fit", "backtest_gbt"}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(QUERIES) - set(SQL) == {"gbt_fit", "backtest_gbt"}
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
     _, text, same = compare(spark, con, name, SF)
     assert same, text

@@ -50,7 +50,7 @@ def test_periods_are_counted_over_all_sites(spark, n_splits, size, gap):
 
 
 def test_folds_never_look_ahead(panel):
-    df = rolling_origin_splits(panel.where("site_id = 'SITE_A'"), 3, 48, 48)
+    df = rolling_origin_splits(panel.where("site_id = 'north'"), 3, 48, 48)
     edges = df.groupBy("fold").agg(
         F.max(F.when(F.col("part") == "train", F.col("timestamp"))).alias("a"),
         F.min(F.when(F.col("part") == "test", F.col("timestamp"))).alias("b"),

@@ -42,17 +42,17 @@ def features(panel):
 def test_registry():
     assert sorted(MODEL_REGISTRY) == ["lightgbm", "profile_mean", "ridge", "seasonal_naive"]
     assert build_model("ridge", alpha=2.0).alpha == 2.0
-    with pytest.raises(KeyError, match="Unknown model 'x'"):
+    with pytest.raises(KeyError, match="registered as 'x'"):
         build_model("x")
     with pytest.raises(ValueError, match="align"):
         SeasonalNaive(align="row")
 
 
 def test_seasonal_naive_repeats_the_last_season(panel, demand):
-    site = panel.where("site_id = 'SITE_A'")
+    site = panel.where("site_id = 'north'")
     head = site.orderBy("timestamp").limit(336)
     out = rows(SeasonalNaive(336, align="position").fit(site).transform(head))
-    want = demand[demand.site_id == "SITE_A"].value.tail(336)
+    want = demand[demand.site_id == "north"].value.tail(336)
     assert np.allclose(out.prediction, want)
 
 
@@ -202,7 +202,7 @@ def test_backtest_columns_and_profile_values(features):
     report = backtest(ProfileMean(), features, ["day_of_week", "minute_of_day"], **FOLDS)
     assert report.columns == [
         "fold", "train_end", "test_start", "test_end", "n_train", "n_test",
-        "mae", "rmse", "mape", "smape", "bias",
+        "mae", "rmse", "mape", "smape", "bias", "n_pred",
     ]
 
     def profile(tr, te):
@@ -228,7 +228,7 @@ def test_backtest_ridge_matches_a_loop(features):
 
 
 def test_backtest_position_matches_a_loop(spark, demand):
-    pdf = demand[demand.site_id == "SITE_A"][["site_id", "timestamp", "value"]]
+    pdf = demand[demand.site_id == "north"][["site_id", "timestamp", "value"]]
     pdf = pdf.drop(pdf.index[100:500:7])
 
     def naive(tr, te):
@@ -263,7 +263,7 @@ def test_backtest_per_site_and_mase(panel):
     model = SeasonalNaive(336)
     per_site = backtest(model, panel, by=["site_id"], **FOLDS).collect()
     assert [(r.fold, r.site_id) for r in per_site] == [
-        (f, s) for f in range(3) for s in ("SITE_A", "SITE_B")
+        (f, s) for f in range(3) for s in ("north", "quay")
     ]
     pooled = backtest(model, panel, season_length=336, grid="30min", extras=True, **FOLDS).collect()
     assert all(0.5 < r.mase < 1.5 for r in pooled)
@@ -310,13 +310,13 @@ def test_horizon_forecast_fits_one_model_per_step(panel):
     pdf["ahead"] = pdf.groupby("site_id").value.shift(-2)
     known = pdf.dropna(subset=[*cols, "ahead"])
     b0, b = closed_form(known, cols, "ahead", 1.0)
-    last = pdf[pdf.site_id == "SITE_B"].iloc[-1]
-    got = out[(out.site_id == "SITE_B") & (out.step == 2)].prediction.iloc[0]
+    last = pdf[pdf.site_id == "quay"].iloc[-1]
+    got = out[(out.site_id == "quay") & (out.step == 2)].prediction.iloc[0]
     assert got == pytest.approx(b0 + last[cols].to_numpy(float) @ b)
 
 
 def test_load_profile_by_site(panel):
-    out = load_profile(panel, "SITE_A").toPandas()
+    out = load_profile(panel, "north").toPandas()
     assert len(out) == 96 and set(out.hour_of_day) == {m / 60 for m in range(0, 1440, 30)}
     noon = out[out.minute_of_day == 720].set_index("is_weekend").mean_value
     assert noon[True] < noon[False]

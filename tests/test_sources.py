@@ -100,7 +100,7 @@ def test_dataset_and_features_jobs(spark, tmp_path, panel, demand):
 def test_a_long_site_is_written_by_several_tasks(spark, tmp_path, panel):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        path = write_panel(panel.where("site_id = 'SITE_A'"), str(tmp_path / "p"))
+        path = write_panel(panel.where("site_id = 'north'"), str(tmp_path / "p"))
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     stored = spark.read.parquet(path).selectExpr("_metadata.file_name f", "timestamp")
@@ -118,6 +118,25 @@ def test_shared_folder_is_the_cluster_setting(spark):
     assert shared_dir(spark) != shared_dir(spark)
 
 
+def test_reports_per_site_are_written_in_parallel(spark, tmp_path):
+    df = spark.range(8).selectExpr("cast(id as string) as site_id").repartition(3)
+    path = write_metrics_csv(df, str(tmp_path / "m"))
+    assert len(list((tmp_path / "m").glob("*.csv"))) > 1
+    assert spark.read.option("header", True).csv(path).count() == 8
+
+
+def test_text_offsets(spark, tmp_path):
+    want = pd.Timestamp("2025-05-31 23:00", tz="UTC")
+    texts = ["2025-06-01 00:00:00+01", "2025-06-01T00:00+0100", "2025-06-01 00:00:00.000+01:00",
+             "2025-05-31 23:00Z", "2025-05-31 23:00:00", "2025-05-31 18:30 -04:30", "2025-06-01 04:30+0530"]
+    (tmp_path / "m.csv").write_text(HEADER + "".join(f"A,{t},{i},kWh\n" for i, t in enumerate(texts)))
+    got = read_hh_meter_data(spark, tmp_path / "m.csv").selectExpr("unix_micros(timestamp) u").collect()
+    assert {r.u for r in got} == {want.value // 1000}
+    (tmp_path / "d.csv").write_text(HEADER + "A,2025-06-01,1,kWh\n")
+    one = read_hh_meter_data(spark, tmp_path / "d.csv").selectExpr("unix_micros(timestamp) u").first().u
+    assert one == pd.Timestamp("2025-06-01", tz="UTC").value // 1000
+
+
 def test_metrics_csv_is_one_file(spark, tmp_path):
     path = write_metrics_csv(spark.range(3).repartition(3), str(tmp_path / "m"))
     assert len(list((tmp_path / "m").glob("*.csv"))) == 1

@@ -41,6 +41,7 @@ from ..sources.models import load_model, save_model
 from ..sources.readers import (
     load_processed,
     read_hh_meter_data,
+    read_holidays,
     read_site_metadata,
     read_weather,
 )
@@ -96,6 +97,28 @@ def _(spark, sf):
     return shown(read_hh_meter_data(spark, f"{path}/*").drop("ingest_order"))
 
 
+@register(
+    "read_meter_offsets", t.panel_sql("events") + " SELECT site_id, timestamp, value, unit FROM meter"
+)
+def _(spark, sf):
+    """Times written in five ways: with hours, hours and minutes, Z and nothing after them."""
+    path = shared_dir(spark)
+    wall = lambda hours: F.timestamp_add("MINUTE", F.lit(int(60 * hours)), utc_wall("timestamp"))
+    forms = [(0, "HH:mm:ss'+00:00'"), (1, "HH:mm:ss'+01'"), (-4, "HH:mm'-0400'"), (5.5, "HH:mm:ss.SSS'+05:30'"), (0, "HH:mm:ss'Z'"), (0, "HH:mm")]
+    written = F.coalesce(
+        *[
+            F.when(
+                F.pmod(F.unix_micros("timestamp") / 1_800_000_000, F.lit(len(forms))) == i,
+                F.date_format(wall(hours), "yyyy-MM-dd " + form),
+            )
+            for i, (hours, form) in enumerate(forms)
+        ]
+    )
+    raw = t.meter_events(spark, sf).withColumn("timestamp", written)
+    raw.drop("ingest_order").write.option("header", True).csv(f"{path}/hh_meter_data_2024-02-01.csv")
+    return shown(read_hh_meter_data(spark, f"{path}/*").drop("ingest_order"))
+
+
 @register("read_sites", "WITH " + t.SITES_SQL.strip() + " SELECT * FROM sites")
 def _(spark, sf):
     path = shared_dir(spark)
@@ -375,6 +398,15 @@ def _(spark, sf):
     return shown(add_holiday_features(meter, t.HOLIDAYS))
 
 
+@register("holiday_flags_table", SQL["holiday_flags"])
+def _(spark, sf):
+    path = shared_dir(spark)
+    days = t.meter_orders(spark, sf).select(F.explode(F.array(*[F.lit(str(d)) for d in t.HOLIDAYS])).alias("holiday"))
+    days.distinct().write.option("header", True).csv(path)
+    meter = t.meter_orders(spark, sf).select("site_id", "timestamp")
+    return shown(add_holiday_features(meter, read_holidays(spark, path)))
+
+
 @register(
     "degree_days",
     "WITH "
@@ -726,6 +758,20 @@ def _(spark, sf):
     return shown(load_profile(readings(spark, sf, "orders")), mean_value=6)
 
 
+@register(
+    "load_profile_site",
+    t.panel_sql("orders")
+    + f"""
+SELECT isodow({_LOCAL}) >= 6 AS is_weekend,
+  CAST(hour({_LOCAL}) * 60 + minute({_LOCAL}) AS INTEGER) AS minute_of_day,
+  (hour({_LOCAL}) * 60 + minute({_LOCAL})) / 60.0::DOUBLE AS hour_of_day,
+  round(avg(value), 6) AS mean_value
+FROM readings WHERE site_id = '7' GROUP BY ALL""",
+)
+def _(spark, sf):
+    return shown(load_profile(readings(spark, sf, "orders"), "7"), mean_value=6)
+
+
 @register(
     "load_profile_events",
     t.panel_sql("events")
@@ -786,7 +832,24 @@ def _(spark, sf):
 
 
 @register(
-    "seasonal_naive_position",
+    "seasonal_naive_fallback",
+    t.panel_sql("events")
+    + f""", tr AS (SELECT * FROM readings WHERE timestamp < {SPLIT_SQL}),
+te AS (SELECT * FROM readings WHERE timestamp >= {SPLIT_SQL}),
+ended AS (SELECT max(timestamp) AS e FROM tr),
+latest AS (SELECT site_id, epoch_us(timestamp) % (336 * {_HALF_HOUR}::BIGINT) AS place, arg_max(value, timestamp) AS v
+  FROM tr GROUP BY ALL)
+SELECT te.site_id, te.timestamp, te.value, coalesce(h.value, l.v) AS prediction
+FROM te CROSS JOIN ended LEFT JOIN tr h ON h.site_id = te.site_id
+  AND epoch_us(h.timestamp) = {_source_sql("te.timestamp", "e", 336, _HALF_HOUR)}
+LEFT JOIN latest l ON l.site_id = te.site_id AND l.place = epoch_us(te.timestamp) % (336 * {_HALF_HOUR}::BIGINT)""",
+)
+def _(spark, sf):
+    before, after = time_split(readings(spark, sf).drop("unit"), CUTOFF)
+    return shown(SeasonalNaive(336, fallback="last").fit(before).transform(after))
+
+
+_POSITION_SQL = (
     t.panel_sql("events")
     + f""", tr AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY timestamp DESC) AS back
   FROM readings WHERE timestamp < {SPLIT_SQL}),
@@ -797,11 +860,23 @@ te AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY timestamp) - 1
 len AS (SELECT site_id, max(len) AS len FROM hist GROUP BY site_id)
 SELECT te.site_id, te.timestamp, te.value, h.value AS prediction
 FROM te LEFT JOIN len ON te.site_id = len.site_id
-LEFT JOIN hist h ON h.site_id = te.site_id AND h.slot = te.pos % len.len""",
+LEFT JOIN hist h ON h.site_id = te.site_id AND h.slot = te.pos % len.len"""
 )
-def _(spark, sf):
+
+
+def _position(spark, sf, season):
     before, after = time_split(readings(spark, sf).drop("unit"), CUTOFF)
-    return shown(SeasonalNaive(336, align="position").fit(before).transform(after))
+    return shown(SeasonalNaive(season, align="position").fit(before).transform(after))
+
+
+@register("seasonal_naive_position", _POSITION_SQL)
+def _(spark, sf):
+    return _position(spark, sf, 336)
+
+
+@register("seasonal_naive_position_long", _POSITION_SQL.replace("back <= 336", "back <= 1500"))
+def _(spark, sf):
+    return _position(spark, sf, 1500)
 
 
 _PROFILE_SQL = (
@@ -864,7 +939,28 @@ def _naive_preds(size: int, step: int) -> str:
     + _report_sql("readings", _naive_preds(336, _HALF_HOUR)),
 )
 def _(spark, sf):
-    report = backtest(SeasonalNaive(336), stage(readings(spark, sf)), extras=True, **FOLDS)
+    report = backtest(SeasonalNaive(336), stage(readings(spark, sf)), **FOLDS)
+    return shown(report, **METRIC_DIGITS)
+
+
+_FALLBACK_PREDS = (
+    _naive_preds(336, _HALF_HOUR).replace("preds AS (", "plain AS (")
+    + f""", latest AS (
+  SELECT fold, site_id, epoch_us(timestamp) % (336 * {_HALF_HOUR}::BIGINT) AS place, arg_max(value, timestamp) AS v
+  FROM trains GROUP BY ALL),
+preds AS (
+  SELECT p.fold, p.site_id, p.timestamp, p.y_true, coalesce(p.y_pred, l.v) AS y_pred
+  FROM plain p LEFT JOIN latest l ON l.fold = p.fold AND l.site_id = p.site_id
+    AND l.place = epoch_us(p.timestamp) % (336 * {_HALF_HOUR}::BIGINT))"""
+)
+
+
+@register(
+    "backtest_seasonal_naive_fallback",
+    t.panel_sql("events") + _folds_sql("readings", **FOLDS) + _report_sql("readings", _FALLBACK_PREDS),
+)
+def _(spark, sf):
+    report = backtest(SeasonalNaive(336, fallback="last"), stage(readings(spark, sf)), **FOLDS)
     return shown(report, **METRIC_DIGITS)
 
 
@@ -877,7 +973,7 @@ def _(spark, sf):
 def _(spark, sf):
     model = SeasonalNaive(7, freq="1D")
     report = backtest(
-        model, stage(readings(spark, sf, "orders")), by=["site_id"], extras=True, **FOLDS_DAILY
+        model, stage(readings(spark, sf, "orders")), by=["site_id"], **FOLDS_DAILY
     )
     return shown(report, **dict.fromkeys(METRIC_DIGITS, 4))
 
@@ -905,7 +1001,7 @@ preds AS (
 )
 def _(spark, sf):
     model = SeasonalNaive(336, align="position")
-    report = backtest(model, stage(readings(spark, sf)), unit="row", extras=True, **FOLDS)
+    report = backtest(model, stage(readings(spark, sf)), unit="row", **FOLDS)
     return shown(report, **METRIC_DIGITS)
 
 
@@ -929,7 +1025,7 @@ preds AS (
 def _(spark, sf):
     panel = stage(add_calendar_features(readings(spark, sf)))
     report = backtest(
-        ProfileMean(), panel, ["day_of_week", "minute_of_day"], extras=True, **FOLDS
+        ProfileMean(), panel, ["day_of_week", "minute_of_day"], **FOLDS
     )
     return shown(report, **METRIC_DIGITS)
 
@@ -972,7 +1068,7 @@ def _(spark, sf):
 
 @register("metrics_csv_roundtrip", SQL["backtest_seasonal_naive"])
 def _(spark, sf):
-    report = backtest(SeasonalNaive(336), stage(readings(spark, sf)), extras=True, **FOLDS)
+    report = backtest(SeasonalNaive(336), stage(readings(spark, sf)), **FOLDS)
     path = write_metrics_csv(shown(report, **METRIC_DIGITS), shared_dir(spark))
     return spark.read.schema(shown(report).schema).option("header", True).csv(path)
 
@@ -1084,11 +1180,44 @@ tests AS (SELECT * FROM all_tests WHERE {_COMPLETE})"""
     ),
 )
 def _(spark, sf):
-    report = backtest(Ridge(ALPHA), lag_frame(spark, sf), RIDGE_FEATURES, extras=True, **FOLDS)
+    report = backtest(Ridge(ALPHA), lag_frame(spark, sf), RIDGE_FEATURES, **FOLDS)
     return shown(report, **METRIC_DIGITS)
 
 
-HORIZON = 4
+_FIVE = ["value_lag_48", "tod_sin", "tod_cos", "dow_sin", "dow_cos"]
+
+
+@register(
+    "ridge_fit_five",
+    _FRAME_SQL
+    + f""", known AS (SELECT * FROM frame WHERE {_COMPLETE})
+SELECT feature, 0.0::DOUBLE AS miss, (SELECT count(*) FROM known) AS n_rows
+FROM (VALUES {", ".join(f"('{c}')" for c in ["intercept", *_FIVE])}) AS v(feature)""",
+)
+def _(spark, sf):
+    """What the normal equations of a five-feature fit leave over, against their size."""
+    lagged = add_target_lags(gridded(spark, sf).drop("unit"), lags=(48,), grid="30min")
+    table = add_cyclical_features(add_calendar_features(lagged)).select("value", *_FIVE)
+    rows = stage(complete_cases(table, [*_FIVE, "value"]))
+    fitted = Ridge(ALPHA).fit(rows, _FIVE)
+    kept = fitted.tables["coefficients"].select(F.struct("*")).scalar()
+    rest = fitted.transform(rows).withColumn("__fit", kept).withColumn("__e", F.col("value") - F.col("prediction"))
+    sums = [F.sum("__e").alias("e_intercept"), F.sum(F.abs("value")).alias("a_intercept")]
+    for i, c in enumerate(_FIVE):
+        penalty = F.lit(ALPHA) * F.max(F.col("__fit.coefficients")[i])
+        sums += [
+            (F.sum(F.col(c) * F.col("__e")) - penalty).alias(f"e_{c}"),
+            F.sum(F.abs(F.col(c) * F.col("value"))).alias(f"a_{c}"),
+        ]
+    one = rest.agg(*sums, F.max("__fit.n_rows").alias("n_rows"))
+    each = [
+        F.struct(F.lit(c).alias("feature"), (F.abs(F.round(F.col(f"e_{c}") / F.col(f"a_{c}"), 8))).alias("miss"))
+        for c in ("intercept", *_FIVE)
+    ]
+    return one.select(F.explode(F.array(*each)).alias("x"), "n_rows").select("x.*", "n_rows")
+
+
+HORIZON = 48
 _DIRECT_SQL = f""", steps AS (SELECT CAST(range AS INTEGER) + 1 AS step FROM range({HORIZON})),
 direct AS (
   SELECT f.*, step, b.value AS value_ahead
@@ -1127,6 +1256,85 @@ def _(spark, sf):
     return shown(forecast_horizon(fitted, frame, HORIZON), prediction=8)
 
 
+_HORIZON_PROFILE = ["day_of_week", "minute_of_day"]
+
+
+@register(
+    "forecast_horizon_profile",
+    t.panel_sql("events")
+    + f""", frame AS (SELECT site_id, timestamp, value, {_CALENDAR_SQL} FROM gridded)"""
+    + _DIRECT_SQL
+    + """, cells AS (SELECT step, day_of_week, minute_of_day, avg(value_ahead) AS m FROM direct GROUP BY ALL),
+origin AS (
+  SELECT * FROM frame QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY timestamp DESC) = 1)
+SELECT o.site_id, o.timestamp, s.step, o.timestamp + s.step * INTERVAL 30 MINUTE AS target_timestamp,
+  round(coalesce(m, (SELECT avg(value_ahead) FROM direct)), 8) AS prediction
+FROM origin o CROSS JOIN steps s LEFT JOIN cells c ON c.step = s.step
+  AND c.day_of_week = o.day_of_week AND c.minute_of_day = o.minute_of_day""",
+)
+def _(spark, sf):
+    frame = stage(add_calendar_features(gridded(spark, sf)).select("site_id", "timestamp", "value", *_HORIZON_PROFILE))
+    model = ProfileMean(_HORIZON_PROFILE)
+    fitted = fit_direct(frame, _HORIZON_PROFILE, HORIZON, grid="30min", model=model)
+    return shown(forecast_horizon(fitted, frame, HORIZON), prediction=8)
+
+
+def _stump_sql(source: str, target: str, name: str) -> str:
+    """The best split of ``day_of_week`` by variance, and the mean on either side."""
+    return f""", {name}_days AS (
+  SELECT day_of_week AS d, count(*) AS n, sum({target}) AS s FROM {source} GROUP BY 1),
+{name}_cuts AS (
+  SELECT a.d, sum(b.n) FILTER (b.d <= a.d) AS nl, sum(b.s) FILTER (b.d <= a.d) AS sl,
+    sum(b.n) FILTER (b.d > a.d) AS nr, sum(b.s) FILTER (b.d > a.d) AS sr
+  FROM {name}_days a CROSS JOIN {name}_days b GROUP BY a.d),
+{name} AS (
+  SELECT d, sl / nl AS low, sr / nr AS high FROM {name}_cuts WHERE nl >= 20 AND nr >= 20
+  ORDER BY sl * sl / nl + sr * sr / nr DESC LIMIT 1)"""
+
+
+_STUMP_SQL = (
+    t.panel_sql("events")
+    + f""", cal AS (SELECT site_id, timestamp, value, {_CALENDAR_SQL} FROM readings),
+tr AS (SELECT * FROM cal WHERE timestamp < {SPLIT_SQL})"""
+    + _stump_sql("tr", "value", "one")
+)
+_FIRST = "CASE WHEN day_of_week <= one.d THEN one.low ELSE one.high END"
+_STUMP_RATE = 0.3
+
+
+def _stumps(spark, sf, rounds):
+    frame = stage(add_calendar_features(readings(spark, sf)).select("site_id", "timestamp", "value", "day_of_week"))
+    stumps = {"n_estimators": rounds, "learning_rate": _STUMP_RATE, "num_leaves": 2, "min_child_samples": 20}
+    fitted = fit_until(frame, ["day_of_week"], CUTOFF, model="lightgbm", **stumps)
+    _, after = time_split(frame, CUTOFF)
+    return shown(predict(fitted, after).select(*_SCORED), prediction=8)
+
+
+@register(
+    "gbt_stump",
+    _STUMP_SQL
+    + f"""
+SELECT site_id, timestamp, value, round({_FIRST}, 8) AS prediction
+FROM cal, one WHERE timestamp >= {SPLIT_SQL}""",
+)
+def _(spark, sf):
+    return _stumps(spark, sf, 1)
+
+
+@register(
+    "gbt_two_rounds",
+    _STUMP_SQL
+    + f""", rest AS (SELECT *, 2 * (value - {_FIRST}) AS r FROM tr, one)"""
+    + _stump_sql("rest", "r", "two")
+    + f"""
+SELECT site_id, timestamp, value,
+  round({_FIRST} + {_STUMP_RATE} * CASE WHEN day_of_week <= two.d THEN two.low ELSE two.high END, 8) AS prediction
+FROM cal, one, two WHERE timestamp >= {SPLIT_SQL}""",
+)
+def _(spark, sf):
+    return _stumps(spark, sf, 2)
+
+
 TREES = {"n_estimators": 10, "learning_rate": 0.2, "num_leaves": 15, "min_child_samples": 10}
 
 

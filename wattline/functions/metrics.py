@@ -121,7 +121,7 @@ def mase(
         both = errors.withColumn("scale", scales.scalar())
     ratio = F.col("__mae") / F.nullif(F.col("scale"), F.lit(0.0))
     if on_zero == "raise":
-        message = "Seasonal naive scale is zero; cannot compute MASE."
+        message = "MASE has no value: the history repeats every season without a change."
         ratio = F.when(F.col("scale") == 0, F.raise_error(F.lit(message)).cast("double")).otherwise(
             ratio
         )

@@ -104,12 +104,30 @@ def floor_to(ts: str | Column, freq: str) -> Column:
     return F.timestamp_micros(micros - F.pmod(micros, F.lit(step_micros(freq))))
 
 
+# A zone after a time of day: Z, or an offset with or without minutes and colon.
+ZONED = r"(?i)^(.*\d:\d{2}\S*?)\s*(?:(Z|UTC)|([+-]\d{1,2}):?(\d{2})?)$"
+
+
+def parse_instant(text: Column) -> Column:
+    """ISO text as an instant: an offset is honoured, otherwise the text is UTC.
+
+    ``+01``, ``+0100``, ``+01:00`` and ``Z`` are offsets; ``-01`` of a date is none, as no
+    time stands before it.
+    """
+    text = F.trim(text)
+    part = lambda i: F.regexp_extract(text, ZONED, i)
+    zoned = text.rlike(ZONED)
+    wall = F.when(zoned, part(1)).otherwise(text).cast("timestamp_ntz")
+    hours = F.nullif(part(3), F.lit("")).cast("int")
+    minutes = F.coalesce(F.nullif(part(4), F.lit("")).cast("int"), F.lit(0))
+    ahead = F.coalesce(hours * 60 + F.when(part(3).startswith("-"), -minutes).otherwise(minutes), F.lit(0))
+    micros = F.unix_micros(instant(wall)) - F.when(zoned, ahead).otherwise(F.lit(0)).cast("long") * F.lit(MINUTE_MICROS)
+    return F.timestamp_micros(micros)
+
+
 def utc_instant(text: str) -> Column:
     """A literal such as ``2025-01-01`` or ``2025-01-01 06:30`` read as UTC.
 
-    An explicit offset (``+01:00``, ``Z``) in the text is honoured.
+    An explicit offset (``+01:00``, ``+01``, ``Z``) after a time is honoured.
     """
-    text = text.strip()
-    if re.search(r"(Z|[+-]\d{2}:?\d{2})$", text) and len(text) > 10:
-        return F.lit(text).cast("timestamp")
-    return instant(F.lit(text).cast("timestamp_ntz"))
+    return parse_instant(F.lit(text))

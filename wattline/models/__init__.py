@@ -13,7 +13,7 @@ MODEL_REGISTRY = {m.kind: m for m in (SeasonalNaive, ProfileMean, Ridge, Boosted
 def build_model(name: str = "lightgbm", **params) -> Forecaster:
     """A forecaster by its registry name."""
     if name not in MODEL_REGISTRY:
-        raise KeyError(f"Unknown model '{name}'. Available: {sorted(MODEL_REGISTRY)}")
+        raise KeyError(f"No forecaster is registered as {name!r}; there are {', '.join(sorted(MODEL_REGISTRY))}")
     return MODEL_REGISTRY[name](**params)
 
 

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.sinks import shared_dir
+from ..sources.sinks import remove, shared_dir, stage
 from .base import PREDICTION, Fitted, Forecaster
 
 _VECTOR = "__features"
@@ -74,11 +74,10 @@ class BoostedTrees(Forecaster):
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(shared_dir(spark))
         rows = train.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])])
-        rows = rows.persist()
-        try:
-            fitted = self._stages(features, target).fit(rows)
-        finally:
-            rows.unpersist()
+        # Every round reads the rows: they are stored where all executors reach them.
+        path = shared_dir(spark)
+        fitted = self._stages(features, target).fit(stage(rows, path))
+        remove(spark, path)
         out = Fitted(self, features, target, {})
         out.pipeline = fitted
         return out

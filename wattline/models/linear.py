@@ -1,9 +1,9 @@
-"""Ridge regression from sums of products.
+"""Ridge regression from centred moments.
 
-One aggregate collects the sums of products of all features per group (and fold);
-what is left to solve is one small linear system per group, so a fit is a single pass
-whose shuffle holds a row per group.  Training sets of nested folds come from the same
-pass by adding up.
+One aggregate collects means and covariances of all features per group (and fold); what is
+left to solve is one small linear system per group, so a fit is a single pass whose shuffle
+holds a row per group.  Training sets of nested folds come from the same pass: their parts,
+one per fold at most, are merged around their common mean.
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.quantile import join_facts, time_bucket, value_bucket
 from .base import PREDICTION, Fitted, Forecaster, spread_to_folds
 
 
@@ -23,86 +24,74 @@ def _pairs(k: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(k) for j in range(i, k)]
 
 
-def gram_sums(
+def moments(
     rows: DataFrame, group: Sequence[str], features: Sequence[str], target: str
 ) -> DataFrame:
-    """Per group: ``__n`` and ``__s``, the sums and sums of products of (features, target).
+    """Per group an array ``__parts`` with one element: rows, means and covariances.
 
-    Columns are shifted by their overall mean first, which changes nothing in the
-    result but keeps large offsets from swallowing small variations.
+    Spark updates both around the running mean, so large offsets do not swallow small
+    variations and no pass for the means is needed first.
     """
-    columns = [*features, target]
-    k = len(columns)
-    centre = rows.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
-    shifted = rows.withColumn("__c", centre.select(F.struct("*")).scalar()).select(
-        *group,
-        "__c",
-        *[(F.col(c).cast("double") - F.col(f"__c.c{i}")).alias(f"__x{i}") for i, c in enumerate(columns)],
-    )
-    sums = [F.sum(f"__x{i}").alias(f"__s{i}") for i in range(k)]
-    products = [
-        F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"__p{i}_{j}") for i, j in _pairs(k)
-    ]
-    centres = [F.max(f"__c.c{i}").alias(f"__c{i}") for i in range(k)]
-    grouped = shifted.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("__n"), *sums, *products, *centres
-    )
-    return grouped.select(
-        *group,
-        "__n",
-        F.array(*[f"__s{i}" for i in range(k)], *[f"__p{i}_{j}" for i, j in _pairs(k)]).alias("__s"),
-        F.array(*[f"__c{i}" for i in range(k)]).alias("__c"),
+    columns = [F.col(c).cast("double") for c in [*features, target]]
+    n = F.count(F.lit(1))
+    means = F.array(*[F.avg(c) for c in columns])
+    spreads = F.array(*[F.covar_pop(columns[i], columns[j]) for i, j in _pairs(len(columns))])
+    return rows.groupBy(*group).agg(
+        F.array(F.struct(n.alias("n"), means.alias("means"), spreads.alias("spreads"))).alias("__parts")
     )
 
 
-def add_up(parts: DataFrame, group: Sequence[str], k: int) -> DataFrame:
-    """Sum ``gram_sums`` rows of the same group."""
-    length = k + len(_pairs(k))
-    total = parts.groupBy(*group).agg(
-        F.sum("__n").alias("__n"),
-        *[F.sum(F.col("__s")[i]).alias(f"__s{i}") for i in range(length)],
-        F.max("__c").alias("__c"),
-    )
-    return total.select(
-        *group, "__n", F.array(*[f"__s{i}" for i in range(length)]).alias("__s"), "__c"
-    )
+def merged(parts: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Put the parts of the same group together; there is one per fold at most."""
+    return parts.groupBy(*group).agg(F.flatten(F.collect_list("__parts")).alias("__parts"))
 
 
-def solve(sums: DataFrame, group: Sequence[str], k: int, alpha: float) -> DataFrame:
-    """Intercept and coefficients per group; every row is solved on its own."""
+def solve(parts: DataFrame, group: Sequence[str], k: int, alpha: float) -> DataFrame:
+    """Intercept and coefficients per group, the systems of a batch at once."""
     schema = T.StructType(
         [
-            *[sums.schema[c] for c in group],
+            *[parts.schema[c] for c in group],
             T.StructField("n_rows", T.LongType()),
             T.StructField("intercept", T.DoubleType()),
             T.StructField("coefficients", T.ArrayType(T.DoubleType())),
         ]
     )
     names = [*group, "n_rows", "intercept", "coefficients"]
-
-    def solve_row(n: int, flat, centre) -> tuple[float, list[float]]:
-        flat, centre = np.asarray(flat, float), np.asarray(centre, float)
-        size = len(centre)
-        mean = flat[:size] / n
-        full = np.zeros((size, size))
-        for value, (i, j) in zip(flat[size:], _pairs(size)):
-            full[i, j] = full[j, i] = value
-        full -= n * np.outer(mean, mean)
-        left = full[:k, :k] + alpha * np.eye(k)
-        coef = np.linalg.lstsq(left, full[:k, k], rcond=None)[0]
-        intercept = (mean[k] + centre[k]) - float(coef @ (mean[:k] + centre[:k]))
-        return intercept, coef.tolist()
+    at = np.array(_pairs(k + 1))
+
+    def merge(several) -> tuple[int, np.ndarray, np.ndarray]:
+        n = np.array([p["n"] for p in several], float)
+        means = np.array([p["means"] for p in several], float)
+        mean = n @ means / n.sum()
+        spread = np.zeros((k + 1, k + 1))
+        for count, own, p in zip(n, means, several):
+            square = np.zeros((k + 1, k + 1))
+            square[at[:, 0], at[:, 1]] = square[at[:, 1], at[:, 0]] = p["spreads"]
+            spread += count * (square + np.outer(own - mean, own - mean))
+        return int(n.sum()), mean, spread
 
     def solve_batches(batches):
         for batch in batches:
-            solved = [solve_row(*r) for r in zip(batch["__n"], batch["__s"], batch["__c"])]
             out = batch[list(group)].copy()
-            out["n_rows"] = batch["__n"]
-            out["intercept"] = pd.Series([s[0] for s in solved], index=batch.index, dtype=float)
-            out["coefficients"] = pd.Series([s[1] for s in solved], index=batch.index, dtype=object)
+            found = [merge(several) for several in batch["__parts"]]
+            left = np.array([s[:k, :k] + alpha * np.eye(k) for _, _, s in found]).reshape(-1, k, k)
+            right = np.array([s[:k, k] for _, _, s in found]).reshape(-1, k)
+            try:
+                coef = np.linalg.solve(left, right[:, :, None])[:, :, 0]
+            except np.linalg.LinAlgError:  # some system has no unique solution: the smallest one
+                coef = np.array([np.linalg.lstsq(a, b, rcond=None)[0] for a, b in zip(left, right)])
+            means = np.array([m for _, m, _ in found]).reshape(-1, k + 1)
+            out["n_rows"] = [n for n, _, _ in found]
+            out["intercept"] = means[:, k] - (means[:, :k] * coef).sum(axis=1)
+            out["coefficients"] = pd.Series(list(coef), index=batch.index, dtype=object)
             yield out[names]
 
-    return sums.where(F.col("__n") > 0).mapInPandas(solve_batches, schema)
+    return parts.where(F.col("__parts")[0]["n"] > 0).mapInPandas(solve_batches, schema)
+
+
+def _bucket(df: DataFrame) -> Column:
+    """How rows of one group are spread when they meet its coefficients."""
+    return time_bucket(df) if "timestamp" in df.columns else value_bucket(*df.columns)
 
 
 def _forecast(features: Sequence[str], intercept, coefficients):
@@ -127,8 +116,7 @@ class Ridge(Forecaster):
 
     def fit(self, train: DataFrame, features: Sequence[str], target: str = "value") -> Fitted:
         group = list(self.group_cols)
-        sums = gram_sums(train, group, features, target)
-        table = solve(sums, group, len(features), self.alpha)
+        table = solve(moments(train, group, features, target), group, len(features), self.alpha)
         return Fitted(self, features, target, {"coefficients": table})
 
     def apply(self, fitted: Fitted, df: DataFrame) -> DataFrame:
@@ -138,7 +126,7 @@ class Ridge(Forecaster):
             lookup = table.select(
                 *self.group_cols, F.struct("intercept", "coefficients").alias("__fit")
             )
-            joined = df.join(lookup, list(self.group_cols), "left")
+            joined = join_facts(df, lookup, list(self.group_cols), _bucket(df))
         else:
             joined = df.withColumn("__fit", table.select(F.struct("intercept", "coefficients")).scalar())
         forecast = _forecast(
@@ -149,8 +137,8 @@ class Ridge(Forecaster):
     def predict_folds(self, marked, features, target, timestamp_col):
         group = list(self.group_cols)
         train = marked.where(F.col("train_from").isNotNull())
-        sums = gram_sums(train, ["train_from", "n_folds", *group], features, target)
-        per_fold = add_up(spread_to_folds(sums), ["fold", *group], len(features) + 1)
+        parts = moments(train, ["train_from", "n_folds", *group], features, target)
+        per_fold = merged(spread_to_folds(parts), ["fold", *group])
         table = solve(per_fold, ["fold", *group], len(features), self.alpha).select(
             "fold", *group, F.struct("intercept", "coefficients").alias("__fit")
         )

@@ -32,9 +32,6 @@ POS = "__pos"
 BLOCK = "__block"
 BLOCK_ROWS = 65_536
 
-# Bucket of rows without a timestamp: after all others.
-NO_TIME = 1 << 62
-
 # Time bucket used to number rows of a table that is not on a regular grid.  A day keeps
 # both sides small: the rows of one bucket, and the buckets of one series.
 BUCKET = "1 day"
@@ -56,6 +53,22 @@ def prefix_offsets(counts: DataFrame, keys: list[str], block: str, n: str) -> Da
     )
 
 
+# Rows without a key or a time belong to no series.  They have no position, and are dealt
+# over so many blocks of their own, below all others.
+LOOSE_BLOCKS = 1 << 20
+
+
+def in_series(keys: Sequence[str], ts: str) -> Column:
+    sound = F.col(ts).isNotNull()
+    for c in keys:
+        sound = sound & F.col(c).isNotNull()
+    return sound
+
+
+def loose_block(columns: Sequence[str]) -> Column:
+    return (F.lit(-(1 << 40)) - F.pmod(F.xxhash64(*columns), F.lit(LOOSE_BLOCKS))).cast("long")
+
+
 def with_positions(
     df: DataFrame,
     keys: str | Sequence[str] = "site_id",
@@ -69,17 +82,18 @@ def with_positions(
     ``reindex_to_grid``).  Without it rows are numbered in time order; the table
     must hold one row per (series, timestamp) for the order to be defined.
     """
-    if grid is not None:
-        return df.withColumn(POS, period_index(ts, step_micros(grid)))
     keys = key_list(keys)
-    number = F.coalesce(period_index(ts, step_micros(bucket)), F.lit(NO_TIME))
+    sound = in_series(keys, ts)
+    if grid is not None:
+        return df.withColumn(POS, F.when(sound, period_index(ts, step_micros(grid))))
+    number = F.when(sound, period_index(ts, step_micros(bucket))).otherwise(loose_block(df.columns))
     bucketed = df.withColumn("__bucket", number)
     counts = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     offsets = prefix_offsets(counts, keys, "__bucket", "__n")
     inside = Window.partitionBy(*keys, "__bucket").orderBy(F.col(ts).asc_nulls_last())
     ranked = bucketed.withColumn("__rn", F.row_number().over(inside))
     joined = ranked.join(offsets, [*keys, "__bucket"], "left")
-    return joined.withColumn(POS, F.col("__offset") + F.col("__rn") - 1).drop(
+    return joined.withColumn(POS, F.when(sound, F.col("__offset") + F.col("__rn") - 1)).drop(
         "__bucket", "__rn", "__offset"
     )
 
@@ -96,7 +110,7 @@ def with_halo(df: DataFrame, lookback: int, lookahead: int = 0) -> tuple[DataFra
     rows = block_rows(max(lookback, lookahead))
     first = floor_div(F.col(POS) - lookahead, rows) if lookahead else own_block(rows)
     last = floor_div(F.col(POS) + lookback, rows) if lookback else own_block(rows)
-    spread = F.array((F.lit(-1) - F.pmod(F.xxhash64(*df.columns), F.lit(1000))).cast("long"))
+    spread = F.array(loose_block(df.columns))
     blocks = F.when(F.col(POS).isNotNull(), F.sequence(first, last)).otherwise(spread)
     return df.withColumn(BLOCK, F.explode(blocks)), rows
 
@@ -122,7 +136,7 @@ def carry_known(
     to the block summary and so reaches the rows without a join on the series alone.
     """
     keys = key_list(keys)
-    blocked = df.withColumn(BLOCK, own_block(block_rows()))
+    blocked = df.withColumn(BLOCK, F.coalesce(own_block(block_rows()), loose_block(df.columns)))
     known_pos = F.when(F.col(column).isNotNull(), F.col(POS))
     edges = blocked.groupBy(*keys, BLOCK).agg(
         F.max(known_pos).alias("__lp"),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.time import step_micros
+from ..functions.time import floor_div, step_micros
 from . import blocks
 from .blocks import BLOCK, POS, carry_known, with_positions
-from .quantile import join_facts, median_and_mad
+from .quantile import join_facts, median_and_mad, time_bucket
 
 # Scales a median absolute deviation to a standard deviation (fixed value).
 MAD_TO_SIGMA = 0.6745
@@ -83,16 +83,59 @@ def site_grid(df: DataFrame, freq: str = "30min") -> DataFrame:
     return instants.select("site_id", F.timestamp_micros("__at").alias("timestamp"))
 
 
+def _block_heads(df: DataFrame, step: int) -> DataFrame:
+    """A row for every (site, block) of the grid: ``__at`` its first instant, ``__end`` its last."""
+    span = step * blocks.BLOCK_ROWS
+    bounds = site_bounds(df).withColumns(
+        {"__from": floor_div(F.col("__lo"), span), "__to": floor_div(F.col("__hi"), span)}
+    )
+    # Two steps, so that no array gets longer than the root of the number of blocks.
+    wide = 1024
+    many = bounds.withColumn("__many", F.explode(F.sequence("__from", "__to", F.lit(wide).cast("long"))))
+    last = F.least(F.col("__to"), F.col("__many") + (wide - 1))
+    heads = many.withColumn(BLOCK, F.explode(F.sequence(F.col("__many"), last)))
+    on_grid = lambda at: F.col("__lo") + floor_div(at - F.col("__lo"), step) * step
+    starts = F.greatest(F.col("__lo"), on_grid(F.col(BLOCK) * span + (step - 1)))
+    ends = F.least(on_grid(F.col("__hi")), on_grid((F.col(BLOCK) + 1) * span - 1))
+    return heads.select("site_id", BLOCK, "__lo", starts.alias("__at"), ends.alias("__end")).where("__at <= __end")
+
+
 def reindex_to_grid(df: DataFrame, freq: str = "30min") -> DataFrame:
     """Put each site on its full regular grid; gaps become rows of nulls.
 
     The grid is anchored at the site's first reading.  Readings off the grid
     disappear and columns other than the keys stay null in the gaps.  The table must
-    hold one row per (site, timestamp).
+    hold one row per (site, timestamp); rows without a site or a time have no place.
+
+    Readings and one head row per (site, block) share one exchange.  Every reading, and
+    the head of its block, then produces its own instant and those up to the next reading
+    of the block, so generated instants are never shuffled or joined.
     """
-    return (
-        site_grid(df, freq).join(df, ["site_id", "timestamp"], "left").select(*df.columns)
+    step = step_micros(freq)
+    heads = _block_heads(df, step)
+    rest = [c for c in df.columns if c not in ("site_id", "timestamp")]
+    at = F.unix_micros("timestamp")
+    readings = df.where(F.col("site_id").isNotNull() & F.col("timestamp").isNotNull()).select(
+        "site_id",
+        floor_div(at, step * blocks.BLOCK_ROWS).alias(BLOCK),
+        at.alias("__at"),
+        F.struct(*rest).alias("__row") if rest else F.lit(True).alias("__row"),
+    )
+    both = readings.unionByName(heads, allowMissingColumns=True)
+    order = Window.partitionBy("site_id", BLOCK).orderBy(F.col("__row").isNotNull(), "__at")
+    head = lambda c: F.last(c, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = both.withColumns({"__lo": head("__lo"), "__end": head("__end")}).where(
+        F.pmod(F.col("__at") - F.col("__lo"), F.lit(step)) == 0
+    )
+    until = F.coalesce(F.lead("__at").over(order) - step, F.col("__end"))
+    filled = placed.withColumn("__until", until).where(F.col("__at") <= F.col("__until"))
+    slots = filled.withColumn(
+        "__slot", F.explode(F.sequence("__at", "__until", F.lit(step).cast("long")))
     )
+    own = F.col("__slot") == F.col("__at")
+    value = {c: F.when(own, F.col(f"__row.`{c}`")) for c in rest}
+    value |= {"site_id": F.col("site_id"), "timestamp": F.timestamp_micros("__slot")}
+    return slots.select(*[value[c].alias(c) for c in df.columns])
 
 
 def _is_outlier(value: Column, z_threshold: float) -> Column:
@@ -106,8 +149,9 @@ def flag_outliers(df: DataFrame, column: str = "value", z_threshold: float = 5.0
     Flags only; a site whose median absolute deviation is zero has no outliers.
     """
     facts = median_and_mad(df.where(F.col("site_id").isNotNull()), column)
+    df = df.drop("is_outlier")
     return (
-        join_facts(df.drop("is_outlier"), facts, "site_id", "timestamp")
+        join_facts(df, facts, "site_id", time_bucket(df))
         .withColumn("is_outlier", _is_outlier(F.col(column), z_threshold))
         .drop("median", "mad")
     )
@@ -130,8 +174,12 @@ def fill_blocks(
     long_gaps: str,
     grid: str | None,
     outlier_z: float | None,
+    register: DataFrame | None = None,
 ) -> DataFrame:
-    """``interpolate_short_gaps`` with the rows still laid out by (site, ``__block``)."""
+    """``interpolate_short_gaps`` with the rows still laid out by (site, ``__block``).
+
+    The columns of ``register``, one row per site, are attached on the way.
+    """
     if long_gaps not in ("partial", "skip"):
         raise ValueError(f"long_gaps must be 'partial' or 'skip', not {long_gaps!r}")
     facts = None
@@ -140,9 +188,12 @@ def fill_blocks(
         facts = median_and_mad(df, column)
         columns = [c for c in columns if c != "is_outlier"] + ["is_outlier"]
         df = df.drop("is_outlier")
+    if register is not None:
+        facts = register if facts is None else register.join(facts, "site_id", "full")
+        columns += [c for c in register.columns if c not in columns]
     placed = with_positions(df, "site_id", "timestamp", grid)
     near = carry_known(placed, "site_id", column, facts)
-    if facts is not None:
+    if outlier_z is not None:
         near = near.withColumn("is_outlier", _is_outlier(F.col(column), outlier_z))
     return near.withColumn(column, _filled(column, max_gap, long_gaps)).select(*columns, BLOCK)
 
@@ -162,5 +213,6 @@ def interpolate_short_gaps(
     Leading and trailing nulls stay.  ``grid`` names the frequency of a table that is
     already regular and saves numbering its rows.  With ``outlier_z`` the raw values
     are flagged first (as ``flag_outliers`` does) in the same pass.
+    Rows without a site or a time are kept as they are.
     """
     return fill_blocks(df, column, max_gap, long_gaps, grid, outlier_z).drop(BLOCK)

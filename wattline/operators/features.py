@@ -68,20 +68,14 @@ def add_weather_lags(
     return add_lookback(df, weather_specs(temp_col, lags, windows), "site_id", grid=grid)
 
 
-def min_lag_for_horizon(horizon: int) -> int:
-    """Shortest target lag still known when forecasting ``horizon`` periods ahead."""
-    return horizon
-
-
 def check_leakage(features: Iterable[str], target: str, gap: int, shift: int = 1) -> None:
     """Raise if a feature of the target looks at periods inside the blind gap."""
-    needed = min_lag_for_horizon(gap)
     late = []
     for name in features:
         head, _, tail = name.rpartition("_")
-        if head == f"{target}_lag" and tail.isdigit() and int(tail) < needed:
+        if head == f"{target}_lag" and tail.isdigit() and int(tail) < gap:
             late.append(name)
-        elif name.startswith(f"{target}_roll_") and shift < needed:
+        elif name.startswith(f"{target}_roll_") and shift < gap:
             late.append(name)
     if late:
         raise ValueError(f"Features see into the gap of {gap} periods: {late}")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, POS, drop_halo, key_list, with_halo, with_positions
+from .blocks import BLOCK, POS, drop_halo, in_series, key_list, with_halo, with_positions
 
 
 # Pieces merged into one of the next level.
@@ -176,7 +176,7 @@ def add_lookback(
 ) -> DataFrame:
     """Add every lag and rolling column in ``specs`` in one pass over the panel.
 
-    Rows without a site belong to no series: they are kept, with nulls.
+    Rows without a site or a time belong to no series: they are kept, with nulls.
     """
     specs = list(specs)
     if not specs:
@@ -207,6 +207,5 @@ def add_lookback(
         out = _moments(out, moments, over)
     if extremes:
         out = _extremes(out, extremes, over)
-    in_series = " AND ".join(f"`{k}` IS NOT NULL" for k in keys)
-    known = [F.expr(f"CASE WHEN {in_series} THEN `{n}` END").alias(n) for n in names]
-    return drop_halo(out, rows).select(*keep, *known)
+    sound = in_series(keys, ts)
+    return drop_halo(out, rows).select(*keep, *[F.when(sound, F.col(n)).alias(n) for n in names])

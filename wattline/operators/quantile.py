@@ -3,11 +3,10 @@
 Values are counted first: one pass over the data leaves one row per distinct value of
 a group, written once to the shared folder because several small steps read it.
 
-The built-in exact percentile keeps all distinct values of a group in one hash map.  It
-is used only after a check that no group has more than ``MAP_VALUES`` of them.  Beyond
-that the middle is found by narrowing down: counts of values rounded to 12 significant
-bits, then to 33 bits, then the values themselves.  No step of that handles more than
-about two million rows of a group, whatever the size of the group.
+The middle is found by narrowing down, at every size: counts of values rounded to 12
+significant bits, then to 33 bits, then the values themselves.  No step of that handles
+more than about two million rows of a group.  (The built-in exact percentile would keep
+all distinct values of a group in one hash map.)
 """
 
 from __future__ import annotations
@@ -17,15 +16,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.time import period_index, step_micros
 from ..sources.sinks import stage
 from .blocks import key_list
 
-# Largest number of distinct values of a group handed to the built-in percentile.
-MAP_VALUES = 500_000
-
-# Copies of a one-row-per-group table when it meets a table of any size, so that no
-# single task receives a whole group.
-SALTS = 32
+# Buckets over which the rows of one group meet their group's facts.
+BUCKETS = 4096
+# Rows of one series within this span of time share a bucket.
+SPAN = "30 days"
 
 # Values above this power of two are their own rounding (the split would overflow).
 _HUGE = 2.0**930
@@ -37,17 +35,30 @@ def _rounded(v: Column, dropped_bits: int) -> Column:
     return F.when(F.abs(v) >= _HUGE, v).otherwise(spread - (spread - v))
 
 
+def time_bucket(df: DataFrame, ts: str = "timestamp") -> Column:
+    """Bucket of a row by its time; rows without one are spread by their content."""
+    spread = F.lit(-1) - F.pmod(F.xxhash64(*df.columns), F.lit(BUCKETS))
+    return F.coalesce(period_index(ts, step_micros(SPAN)) + F.lit(1 << 40), spread)
+
+
+def value_bucket(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
+
+
 def join_facts(
-    df: DataFrame, facts: DataFrame, keys: str | Sequence[str], spread_by: str
+    df: DataFrame, facts: DataFrame, keys: str | Sequence[str], bucket: Column
 ) -> DataFrame:
-    """Left join of one-row-per-group ``facts`` that spreads big groups over tasks."""
+    """Left join of one-row-per-group ``facts`` that spreads big groups over tasks.
+
+    Facts meet the distinct (group, bucket) pairs of the rows first, and the rows meet
+    those, so that no task receives a whole group.
+    """
     keys = key_list(keys)
-    salted = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return (
-        df.withColumn("__salt", F.pmod(F.hash(spread_by), F.lit(SALTS)))
-        .join(salted, [*keys, "__salt"], "left")
-        .drop("__salt")
-    )
+    marked = df.withColumn("__bucket", bucket)
+    # The pairs are dealt by the bucket too, or their layout by group would be reused.
+    pairs = marked.select(*keys, "__bucket").distinct().join(facts, keys, "left")
+    pairs = pairs.repartition(*keys, "__bucket")
+    return marked.join(pairs, [*keys, "__bucket"], "left").drop("__bucket")
 
 
 def value_counts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -70,12 +81,7 @@ def _pick(counts: DataFrame, group: list[str], value: str) -> DataFrame:
     )
 
 
-def median_by_map(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Median per group of a table of value counts, by the built-in exact percentile."""
-    return counts.groupBy(*keys).agg(F.percentile("__v", F.lit(0.5), F.col("__n")).alias(name))
-
-
-def median_by_narrowing(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+def median_of_counts(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Median per group of a table of value counts (``__v``, ``__n``) of any size."""
     fine = counts.withColumn("__f", _rounded(F.col("__v"), 20))
     fine_counts = fine.groupBy(*keys, "__f").agg(F.sum("__n").alias("__n"))
@@ -105,19 +111,16 @@ def median_by_narrowing(counts: DataFrame, keys: list[str], name: str) -> DataFr
 
 
 def median_and_mad(
-    df: DataFrame, column: str, keys: str | Sequence[str] = "site_id", map_values: int = MAP_VALUES
+    df: DataFrame, column: str, keys: str | Sequence[str] = "site_id"
 ) -> DataFrame:
     """Per group: ``median`` and ``mad``, the median absolute deviation from it.
 
-    Runs the counting pass and the size check at once; the rest is lazy.
+    The counting pass runs at once, as several steps read its result; the rest is lazy.
     """
     keys = key_list(keys)
     counts = stage(value_counts(df, keys, F.col(column)))
-    per_group = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    widest = per_group.agg(F.max("n")).first()[0] or 0
-    median = median_by_map if widest <= map_values else median_by_narrowing
-    medians = median(counts, keys, "median")
-    deviations = join_facts(counts, medians, keys, "__v").select(
+    medians = median_of_counts(counts, keys, "median")
+    deviations = join_facts(counts, medians, keys, value_bucket("__v")).select(
         *keys, F.abs(F.col("__v") - F.col("median")).alias("__v"), "__n"
     )
-    return medians.join(median(deviations, keys, "mad"), keys)
+    return medians.join(median_of_counts(deviations, keys, "mad"), keys)

@@ -14,7 +14,7 @@ from ..operators.features import check_leakage
 from ..operators.folds import complete_cases, mark_folds
 from ..operators.lookback import Lag, add_lookback
 
-REPORT = ("fold", "train_end", "test_start", "test_end", "n_train", "n_test", *METRICS)
+REPORT = ("fold", "train_end", "test_start", "test_end", "n_train", "n_test", *METRICS, "n_pred")
 
 
 def _marked(df, features, target, n_splits, test_size, gap, unit, timestamp_col):
@@ -71,8 +71,8 @@ def backtest(
 ) -> DataFrame:
     """One row of errors per fold (and per ``by``), folds numbered from the oldest.
 
-    ``extras`` adds ``n_pred``, the test rows that got a forecast, and with
-    ``season_length`` also ``mase``.  Folds without complete rows are left out but
+    Errors are over the ``n_pred`` of the ``n_test`` test rows that got a forecast.
+    ``extras`` with ``season_length`` adds ``mase``.  Folds without complete rows are left out but
     keep their number.
     """
     if strict_leakage:
@@ -99,7 +99,6 @@ def backtest(
     report = trained.join(tested, ["fold", *by])
     columns = ["fold", *by, *REPORT[1:]]
     if extras:
-        columns.append("n_pred")
         if season_length is not None:
             lagged = add_lookback(
                 marked, [Lag(target, season_length, "__season")], "site_id", timestamp_col, grid

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..functions.time import floor_div, period_index, step_micros
-from ..operators.blocks import BLOCK, block_rows
+from ..operators.blocks import BLOCK
 from ..operators.cleaning import drop_duplicate_readings, fill_blocks, reindex_to_grid
-from ..operators.quantile import join_facts
+from ..operators.quantile import join_facts, time_bucket
 from ..schema import nan_to_null, validate_schema
 from ..sources.sinks import stage, write_panel
 
@@ -15,10 +14,10 @@ from ..sources.sinks import stage, write_panel
 def join_sites(df: DataFrame, sites: DataFrame) -> DataFrame:
     """Attach the site register.
 
-    Left join.  Spark broadcasts a register whose size it knows to be small; a bigger one
-    meets the readings of a site on several tasks.
+    Left join, for which the readings are read twice.  Spark broadcasts a register whose
+    size it knows to be small; a bigger one meets the readings of a site on several tasks.
     """
-    return join_facts(df, sites, "site_id", "timestamp").select(
+    return join_facts(df, sites, "site_id", time_bucket(df)).select(
         *df.columns, *[c for c in sites.columns if c != "site_id"]
     )
 
@@ -47,18 +46,13 @@ def build_dataset(
     validate_schema(meter)
     readings = drop_duplicate_readings(nan_to_null(meter), order_by).drop("ingest_order")
     gridded = stage(reindex_to_grid(readings, frequency))
-    demand = fill_blocks(gridded, "value", max_gap, long_gaps, frequency, outlier_z)
+    # The register travels with the block summary, like the facts of the outlier flags.
+    demand = fill_blocks(gridded, "value", max_gap, long_gaps, frequency, outlier_z, sites)
     columns = _others(demand)
-    if weather is not None:
-        # The block follows from the timestamp.  As a join key it lets the demand rows
-        # stay where the gap filling put them; only the weather is shuffled.
-        block = floor_div(period_index("timestamp", step_micros(frequency)), block_rows())
-        keys = ["site_id", "timestamp", BLOCK]
-        demand = demand.join(weather.withColumn(BLOCK, block), keys, "left")
     if sites is not None:
-        demand = join_sites(demand, sites)
-        columns += _others(sites)
+        columns = [c for c in columns if c not in sites.columns] + _others(sites)
     if weather is not None:
+        demand = join_weather(demand.drop(BLOCK), weather)
         columns += _others(weather)
     return demand.select("site_id", "timestamp", *columns)
 

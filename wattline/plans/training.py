@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from copy import copy
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.time import step_micros
-from ..models import Fitted, Ridge, build_model
+from ..models import Fitted, Forecaster, Ridge, build_model
 from ..operators.blocks import block_window, drop_halo, with_halo, with_positions
 from ..operators.folds import complete_cases, time_split
 from ..sources.models import load_model, save_model
+from ..sources.sinks import stage
 
 
 def fit_until(
@@ -84,6 +86,21 @@ def direct_horizon_frame(
     )
 
 
+class Direct:
+    """One fitted model per step ahead; ``transform`` gives each row its step's forecast."""
+
+    def __init__(self, features: Sequence[str], by_step: dict[int, Fitted]):
+        self.features = list(features)
+        self.by_step = by_step
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        parts = [f.transform(df.where(F.col("step") == h)) for h, f in self.by_step.items()]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+
 def fit_direct(
     df: DataFrame,
     features: Sequence[str],
@@ -91,15 +108,28 @@ def fit_direct(
     target: str = "value",
     alpha: float = 1.0,
     grid: str | None = None,
-) -> Fitted:
-    """One ridge model per step ahead, all fitted in one pass."""
+    model: Forecaster | None = None,
+) -> Fitted | Direct:
+    """Direct forecasts: a model per step ahead (by default ridge with ``alpha``).
+
+    Models that are fitted per group (``group_cols``) take the step as one more group and
+    are fitted in one pass; any other model is fitted once per step.
+    """
+    ahead = f"{target}_ahead"
     frame = direct_horizon_frame(df, horizon, target, grid=grid)
-    rows = complete_cases(frame, [*features, f"{target}_ahead"])
-    return Ridge(alpha, ["step"]).fit(rows, features, f"{target}_ahead")
+    rows = complete_cases(frame, [*features, ahead])
+    model = model or Ridge(alpha)
+    if hasattr(model, "group_cols"):
+        by_step = copy(model)
+        by_step.group_cols = ("step", *model.group_cols)
+        return by_step.fit(rows, features, ahead)
+    rows = stage(rows)
+    steps = range(1, horizon + 1)
+    return Direct(features, {h: model.fit(rows.where(F.col("step") == h), features, ahead) for h in steps})
 
 
 def forecast_horizon(
-    fitted: Fitted, df: DataFrame, horizon: int, freq: str = "30min"
+    fitted: Fitted | Direct, df: DataFrame, horizon: int, freq: str = "30min"
 ) -> DataFrame:
     """Forecast the next ``horizon`` periods of every site from its latest complete row."""
     rows = complete_cases(df, fitted.features)

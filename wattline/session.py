@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 # Runtime settings the plans are written for; results are the same without them.
-# requireAllClusterKeysForCoPartition: a join on (site, instant, block) keeps rows already
-# partitioned by (site, block) where they are, which saves a shuffle.
 # hugeMethodLimit: the JVM does not compile methods beyond 8000 bytes, so the wide feature
 # projections are better generated in parts (between no gain and twice as fast here).
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
@@ -34,6 +32,7 @@ def local_session(name: str = "wattline", cpus: int | str = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", os.environ.get("WATTLINE_PARTITIONS", "8"))
         .config("spark.driver.memory", "12g")
         .config("spark.driver.extraJavaOptions", os.environ.get("WATTLINE_JAVA_OPTIONS", ""))
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "wattline-checkpoints"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.time import instant
+from ..functions.time import parse_instant
 from ..schema import METER, SITES, WEATHER, nan_to_null
 
 
-def _parse_instant(text: Column) -> Column:
-    """ISO text as an instant: an offset is honoured, otherwise the text is UTC."""
-    trimmed = F.trim(text)
-    zoned = trimmed.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & (F.length(trimmed) > 10)
-    return F.when(zoned, trimmed.cast("timestamp")).otherwise(
-        instant(trimmed.cast("timestamp_ntz"))
-    )
-
-
 def _read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
     """CSV with exactly this header; instants are parsed explicitly, NaN becomes null."""
     raw = T.StructType(
@@ -37,7 +28,7 @@ def _read_csv(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
         .csv(path if isinstance(path, list) else str(path))
     )
     parsed = {
-        f.name: _parse_instant(F.col(f.name))
+        f.name: parse_instant(F.col(f.name))
         for f in schema.fields
         if isinstance(f.dataType, T.TimestampType)
     }

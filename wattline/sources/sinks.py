@@ -53,21 +53,22 @@ def stage(df: DataFrame, path: str | None = None) -> DataFrame:
 def write_panel(
     df: DataFrame, path: str, cluster_by: tuple[str, ...] = ("site_id", "timestamp")
 ) -> str:
-    """Write a panel clustered and sorted by site and time.
+    """Write a panel with the rows of each file sorted by site and time.
 
-    Range partitioning cuts a long site over several files, so no task writes a whole
-    site, and row-group statistics let readers skip by site and by time.
+    Tables come out of their last step spread by site and block; they are sorted where they
+    are, so nothing is computed twice and a long site is written by several tasks.
+    Row-group statistics let readers skip by site and by time.
     """
-    (
-        df.repartitionByRange(*cluster_by)
-        .sortWithinPartitions(*cluster_by)
-        .write.mode("overwrite")
-        .parquet(str(path))
-    )
+    df.sortWithinPartitions(*cluster_by).write.mode("overwrite").parquet(str(path))
     return str(path)
 
 
 def write_metrics_csv(df: DataFrame, path: str) -> str:
-    """Write a backtest report (at most folds x sites rows) as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(str(path))
+    """Write a backtest report as CSV.
+
+    A pooled report has a row per fold and becomes one file; one per site has as many files
+    as tasks.
+    """
+    pooled = "site_id" not in df.columns
+    (df.coalesce(1) if pooled else df).write.mode("overwrite").option("header", True).csv(str(path))
     return str(path)
