@@ -32,21 +32,6 @@ def buckets_for(rows: int, rows_per_bucket: int) -> int:
     return max(1, -(-rows // rows_per_bucket))
 
 
-def deal(df: DataFrame, rows_per_task: int = 0) -> DataFrame:
-    """Spread rows evenly before heavy work per row."""
-    return df.repartition(rows_per_task) if rows_per_task else df
-
-
-def without(df: DataFrame, *names: str) -> DataFrame:
-    """Drop columns whose names an operator is about to use."""
-    clash = {n.lower() for n in names}
-    return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in clash])
-
-
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def chunks(texts, size: int):
     """Consecutive lists of indices whose texts have about ``size`` characters together."""
     part, total = [], 0

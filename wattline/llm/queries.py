@@ -68,7 +68,31 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents")).drop("member")
 
 
-@query("op4_minhash_near_dedup")
+@query(
+    "op4_minhash_near_dedup",
+    r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), runs AS (
+      SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS run
+      FROM words, unnest(range(1, greatest(len(w), 2))) AS t(i) WHERE len(w) > 0
+    ), sizes AS (
+      SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id
+    ), links AS (
+      SELECT a.doc_id AS x, b.doc_id AS y
+      FROM runs a JOIN runs b ON a.run = b.run AND a.doc_id <> b.doc_id
+      JOIN sizes p ON p.doc_id = a.doc_id JOIN sizes q ON q.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))
+    ), reach(doc_id, other) AS (
+      SELECT doc_id, doc_id FROM documents
+      UNION SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.other
+    )
+    SELECT r.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, r.doc_id = min(other) AS kept
+    FROM reach r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+)
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
