@@ -106,7 +106,7 @@ def test_components_against_union_find(spark):
 
 def test_bitmap_has_every_id(spark):
     size, bits = neardup.bits_of(spark.range(0, 5000, 7))
-    at = spark.range(5000).select("id", neardup.slot("id", size).alias("at")).toPandas()
+    at = spark.range(5000).select("id", neardup.slot(size, "id").alias("at")).toPandas()
     inside = neardup.has(bits, at["at"].to_numpy())
     assert inside[at["id"] % 7 == 0].all() and inside.mean() < 0.3
 
@@ -115,3 +115,10 @@ def test_sets_have_one_value_per_distinct_run():
     one, two, three = neardup.shingle_sets(["a b a b c", "A\tB  a", "z"], 2)
     assert (len(one), len(two), len(three)) == (3, 2, 1)
     assert len(np.intersect1d(one, two)) == 2
+
+
+def test_packed_values_come_back():
+    values = np.sort(np.array([0, 1, 2**40 - 1, 2**40 - 7, 12345678901], np.int64))
+    assert neardup.unpacked(neardup.packed(values)).tolist() == values.tolist()
+    assert neardup.unpacked(neardup.packed(-values - 1)).tolist() == sorted(2**40 - 1 - values)
+    assert len(neardup.unpacked(b"")) == 0

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wattline.llm.common import chunks
 from wattline.llm.components import components
 from wattline.llm.hashing import byte_values, run_hashes, word_hashes
-from wattline.sources.sinks import stage
+from wattline.sources.sinks import remove, shared_dir, stage
 
 K = 64
 SIGMAS = 4.25
@@ -41,6 +41,8 @@ LIST = 64
 CHARS = 1_000_000
 # Bound of the bitmaps that tell which texts to read once more: 16 MB.
 MAX_BITS = 1 << 27
+# Bits of each value that travel when sets are compared.
+BITS = 40
 # Stands for a missing id.
 LAST = 2**63 - 1
 
@@ -99,8 +101,25 @@ def sketches(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.mapInPandas(run, "id long, n long, digest binary, sketch array<long>")
 
 
-def bits_of(ids: DataFrame) -> tuple[int, np.ndarray]:
-    """A bitmap that has every id of ``ids`` and few others: its length in bits and words.
+def packed(values: np.ndarray) -> bytes:
+    """Sorted low ``BITS`` bits of the values, so much smaller than whole ones.
+
+    Two sets are compared pair by pair: of n and m values, unequal ones agree in these bits
+    with a chance of n m / 2 ** BITS, which then shifts the count by one.
+    """
+    low = np.unique(values & ((1 << BITS) - 1))
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    short = np.frombuffer(raw, np.uint8).reshape(-1, BITS // 8)
+    out = np.zeros((len(short), 8), np.uint8)
+    out[:, : BITS // 8] = short
+    return out.view("<i8").ravel()
+
+
+def bits_of(ids: DataFrame, *keys: str) -> tuple[int, np.ndarray]:
+    """A bitmap that has every key of ``ids`` and few others: its length in bits and words.
 
     ``MAX_BITS`` bounds it.  A fuller one lets more strangers through, which are then read in
     vain but do no harm.
@@ -108,7 +127,7 @@ def bits_of(ids: DataFrame) -> tuple[int, np.ndarray]:
     size = 1 << 16
     while size < MAX_BITS and size < 16 * ids.count():
         size *= 2
-    at = ids.select(slot("id", size).alias("at"))
+    at = ids.select(slot(size, *(keys or ("id",))).alias("at"))
     words = (
         at.groupBy(F.shiftright("at", 6).alias("word"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
@@ -119,14 +138,25 @@ def bits_of(ids: DataFrame) -> tuple[int, np.ndarray]:
     return size, out
 
 
-def slot(column: str, size: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(size))
+def slot(size: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(size))
 
 
 def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
+def narrowed(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``df`` with keys in ``wanted``, and few others, without a shuffle."""
+    size, mine = bits_of(wanted, *keys)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[has(mine, pdf["at"].to_numpy())].drop(columns="at")
+
+    return df.withColumn("at", slot(size, *keys)).mapInPandas(run, df.schema)
+
+
 def full_sets(docs: DataFrame, width: int, wanted: DataFrame, hubs: DataFrame) -> DataFrame:
     """(id, values, hub) of the documents in ``wanted`` and some others.
 
@@ -146,9 +176,9 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame, hubs: DataFrame) -
         for pdf in chosen():
             hub_of = dict(zip(pdf["id"].tolist(), has(of_hubs, pdf["hub_at"].to_numpy()).tolist()))
             for ids, found in sets([pdf]):
-                yield pd.DataFrame({"id": ids, "values": [s.tobytes() for s in found], "hub": [hub_of[i] for i in ids]})
+                yield pd.DataFrame({"id": ids, "values": [packed(s) for s in found], "hub": [hub_of[i] for i in ids]})
 
-    rows = docs.select("id", "text", slot("id", size).alias("at"), slot("id", hub_size).alias("hub_at"))
+    rows = docs.select("id", "text", slot(size, "id").alias("at"), slot(hub_size, "id").alias("hub_at"))
     return rows.mapInPandas(run, "id long, values binary, hub boolean")
 
 
@@ -191,15 +221,19 @@ def _judge_stars(percent: int, k: int):
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             linked, apart = [], []
-            for x, y in zip(pdf["values"], pdf["hub_values"], strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            for x, y, both in zip(pdf["values"], pdf["hub_values"], pdf["n"] + pdf["hub_n"], strict=True):
+                x, y = unpacked(x), unpacked(y)
                 differ = np.setxor1d(x, y, assume_unique=True)
                 small = np.union1d(x[:k], y[:k])[:k]
-                both = np.isin(small, x[:k], assume_unique=True) & np.isin(small, y[:k], assume_unique=True)
-                maybe = len(small) > 0 and both.sum() / len(small) >= floor
-                linked.append(bool(maybe and close(len(differ), len(x) + len(y), percent)))
+                shared = np.isin(small, x[:k], assume_unique=True) & np.isin(small, y[:k], assume_unique=True)
+                maybe = len(small) > 0 and shared.sum() / len(small) >= floor
+                linked.append(bool(maybe and close(len(differ), both, percent)))
                 apart.append(differ)
-            yield pdf[["hub", "id"]].assign(linked=linked, n_apart=[len(d) for d in apart], apart=apart)
+            yield pdf[["hub", "hub_n", "id", "n", "long"]].assign(
+                linked=linked,
+                n_apart=[len(d) for d in apart],
+                apart=[packed(d) if several else None for d, several in zip(apart, pdf["several"], strict=True)],
+            )
 
     return run
 
@@ -209,12 +243,17 @@ def close(apart, both, percent: int):
     return (100 + percent) * apart <= (100 - percent) * both
 
 
+STAR = "hub long, hub_n int, id long, n int, long boolean, linked boolean, n_apart int, apart binary"
+
+
 def judged_stars(stars: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
-    """``stars`` (hub, id, ...) with ``linked`` and the values only one of both sets has."""
+    """``stars`` (hub, hub_n, id, n, long, several) compared with their hubs.
+
+    ``apart`` holds the values only one of both sets has, if the hub has several members.
+    """
     hubs = sets.filter("hub").select(F.col("id").alias("hub"), F.col("values").alias("hub_values"))
-    both = stars.select("hub", "id").join(sets.select("id", "values"), "id").join(hubs, "hub")
-    found = both.mapInPandas(_judge_stars(percent, k), "hub long, id long, linked boolean, n_apart int, apart array<long>")
-    return stars.join(found, ["hub", "id"])
+    both = stars.join(sets.select("id", "values"), "id").join(hubs, "hub")
+    return both.mapInPandas(_judge_stars(percent, k), STAR)
 
 
 def judged_pairs(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
@@ -227,11 +266,14 @@ def judged_pairs(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             apart = [
-                len(np.setxor1d(x, y, assume_unique=True)) for x, y in zip(pdf["apart_a"], pdf["apart_b"], strict=True)
+                len(np.setxor1d(unpacked(x), unpacked(y), assume_unique=True))
+                for x, y in zip(pdf["apart_a"], pdf["apart_b"], strict=True)
             ]
             yield pdf.loc[close(np.array(apart, dtype=np.int64), pdf["both"].to_numpy(), percent), ["a", "b"]]
 
-    end = lambda x: stars.select("hub", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"))
+    ends = pairs.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = narrowed(stars.select("hub", "id", "n", "apart"), ends, "hub", "id")
+    end = lambda x: some.select("hub", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"))
     rows = pairs.join(end("a"), ["hub", "a"]).join(end("b"), ["hub", "b"])
     return rows.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), "apart_a", "apart_b").mapInPandas(
         run, "a long, b long"
@@ -275,7 +317,17 @@ def by_difference(stars: DataFrame, percent: int) -> DataFrame:
         F.col("linked"), F.floor((F.col("n_apart") + c * (F.col("hub_n") - F.col("n"))) / 2)
     ).otherwise(F.floor((F.col("n_apart") - c * (F.col("hub_n") + F.col("n"))) / 2))
     keys = ["hub", "id", "n", "component", "linked", "n_apart", "least"]
-    rows = stars.withColumn("least", F.greatest(F.lit(1), least)).select(*keys, F.explode("apart").alias("value"))
+
+    def spread(batches):
+        for pdf in batches:
+            values = [unpacked(x) for x in pdf["apart"]]
+            out = pdf[keys].loc[pdf.index.repeat([len(v) for v in values])]
+            yield out.assign(value=np.concatenate(values) if values else np.empty(0, np.int64))
+
+    wide = stars.withColumn("least", F.greatest(F.lit(1), least).cast("long")).select(*keys, "apart")
+    rows = wide.mapInPandas(
+        spread, "hub long, id long, n int, component long, linked boolean, n_apart int, least long, value long"
+    )
     shared = stage(rows.groupBy("hub", "value").agg(F.count("*").alias("df")).filter("df > 1"))
     front = (
         rows.join(shared, ["hub", "value"])
@@ -315,20 +367,27 @@ def links_between(classes: DataFrame, docs: DataFrame, width: int, percent: int,
         .select("value", F.col("head.id").alias("hub"), F.col("head.n").alias("hub_n"), (F.col("members") > LIST).alias("long"))
     )
     members = stage(lists.join(heads, "value").filter("id != hub").select("value", "hub", "hub_n", "long", "id", "n"))
-    stars = stage(members.groupBy("hub", "hub_n", "id", "n").agg(F.max("long").alias("long")))
+    stars = members.groupBy("hub", "hub_n", "id", "n").agg(F.max("long").alias("long"))
+    sizes = members.groupBy("hub").agg((F.min("id") != F.max("id")).alias("several"))
+    stars = stage(stars.join(sizes, "hub"))
     hubs = stage(stars.select(F.col("hub").alias("id")).distinct())
     wanted = stage(stars.select("id").unionByName(hubs).distinct())
-    sets = stage(full_sets(docs, width, wanted, hubs))
+    at = shared_dir(docs.sparkSession)
+    sets = stage(full_sets(docs, width, wanted, hubs), at)
     stars = stage(judged_stars(stars, sets, percent, k))
+    remove(docs.sparkSession, at)
     links = stars.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
 
     labels = components(links).withColumnRenamed("node", "id")
-    stars = stars.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    marks = stage(stars.select("hub", "id", "component", "n_apart", "linked"))
+    own_or = F.coalesce("component", "id").alias("component")
+    marks = stage(
+        stars.filter("apart is not null").select("hub", "id", "n_apart").join(labels, "id", "left").select("hub", "id", "n_apart", own_or)
+    )
     short = members.filter("not long").join(marks, ["hub", "id"])
     mixed = short.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y")
     some = stage(short.join(mixed, "value", "left_semi").select("value", "hub", "id", "n", "component", "n_apart"))
-    rest = across(some, percent).unionByName(by_difference(stars.filter("long"), percent))
+    far = stars.filter("long and apart is not null").join(labels, "id", "left").withColumn("component", own_or)
+    rest = across(some, percent).unionByName(by_difference(far, percent))
     rest = stage(rest.groupBy("a", "b").agg(F.min("hub").alias("hub")))
     return links.unionByName(judged_pairs(rest, stars, percent))
 
@@ -368,7 +427,7 @@ def near_duplicates(
         .withColumn("component", F.coalesce("component", "id"))
         .select(
             F.nullif(F.col("id"), F.lit(LAST)).alias("doc_id"),
-            F.col("n").alias("n_shingles"),
+            F.col("n").cast("long").alias("n_shingles"),
             F.nullif(F.col("component"), F.lit(LAST)).alias("component_id"),
             (F.col("id") == F.col("component")).alias("kept"),
         )
