@@ -6,7 +6,8 @@
    is enough to list each class under the rarest of them (prefix filter on sketches).
 3. Each list has a hub, the member with the fewest values of its own.  All members are
    compared with the hub: first estimated by the sketch of the union, then exactly on the
-   full sets.  Links make components.
+   full sets.  Members far from the hub are compared with the others of a short list in the
+   same way.  Links make components.
 4. Other pairs of a list matter only across components.  In lists up to ``LIST`` members
    they are compared one by one, a bounded number per member.  In longer ones, if one of
    two members is not linked to the hub, the pair can be linked only if their differences
@@ -213,21 +214,48 @@ def listed(classes: DataFrame, k: int, percent: int) -> DataFrame:
     ).select("at.value", "id", "n", "own")
 
 
-def _judge_stars(percent: int, k: int):
-    """Compare members with their hub: estimate by the union's sketch, then exactly."""
+def alike(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
+    """``pairs`` (a, b) whose sketches allow the similarity: the union's sketch estimates it.
+
+    ``sketches``: id, sketch; only those of the pairs are dealt.
+    """
     t = percent / 100
     floor = t - SIGMAS * (t * (1 - t) / k) ** 0.5
 
+    def pack(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "small": [packed(np.asarray(x)) for x in pdf["sketch"]]})
+
+    def run(batches):
+        for pdf in batches:
+            keep = []
+            for x, y in zip(pdf["small_a"], pdf["small_b"], strict=True):
+                x, y = unpacked(x), unpacked(y)
+                both = np.concatenate((x, y))
+                both.sort()
+                again = both[1:] == both[:-1]  # in both sketches, so twice
+                union = np.delete(both, np.flatnonzero(again))[:k]
+                shared = both[1:][again]
+                inside = np.searchsorted(shared, union[-1], "right") if len(union) else 0
+                keep.append(len(union) > 0 and inside / len(union) >= floor)
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    small = stage(narrowed(sketches.select("id", "sketch"), ends, "id").mapInPandas(pack, "id long, small binary"))
+    end = lambda x: small.select(F.col("id").alias(x), F.col("small").alias(f"small_{x}"))
+    return pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").mapInPandas(run, "a long, b long")
+
+
+def _judge_stars(percent: int):
+    """Compare members with their hub exactly."""
+
     def run(batches: Iterator[pd.DataFrame]):
         for pdf in batches:
             linked, apart = [], []
             for x, y, both in zip(pdf["values"], pdf["hub_values"], pdf["n"] + pdf["hub_n"], strict=True):
                 x, y = unpacked(x), unpacked(y)
                 differ = np.setxor1d(x, y, assume_unique=True)
-                small = np.union1d(x[:k], y[:k])[:k]
-                shared = np.isin(small, x[:k], assume_unique=True) & np.isin(small, y[:k], assume_unique=True)
-                maybe = len(small) > 0 and shared.sum() / len(small) >= floor
-                linked.append(bool(maybe and close(len(differ), both, percent)))
+                linked.append(bool(close(len(differ), both, percent)))
                 apart.append(differ)
             yield pdf[["hub", "hub_n", "id", "n", "long"]].assign(
                 linked=linked,
@@ -246,14 +274,31 @@ def close(apart, both, percent: int):
 STAR = "hub long, hub_n int, id long, n int, long boolean, linked boolean, n_apart int, apart binary"
 
 
-def judged_stars(stars: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
+def judged_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``stars`` (hub, hub_n, id, n, long, several) compared with their hubs.
 
     ``apart`` holds the values only one of both sets has, if the hub has several members.
     """
     hubs = sets.filter("hub").select(F.col("id").alias("hub"), F.col("values").alias("hub_values"))
     both = stars.join(sets.select("id", "values"), "id").join(hubs, "hub")
-    return both.mapInPandas(_judge_stars(percent, k), STAR)
+    return both.mapInPandas(_judge_stars(percent), STAR)
+
+
+def judged_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among ``pairs`` (a, b), by their whole sets."""
+
+    def run(batches):
+        for pdf in batches:
+            linked = []
+            for x, y in zip(pdf["values_a"], pdf["values_b"], strict=True):
+                x, y = unpacked(x), unpacked(y)
+                linked.append(bool(close(len(np.setxor1d(x, y, assume_unique=True)), len(x) + len(y), percent)))
+            yield pdf.loc[np.array(linked, bool), ["a", "b"]]
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    some = narrowed(sets.select("id", "values"), ends, "id")
+    end = lambda x: some.select(F.col("id").alias(x), F.col("values").alias(f"values_{x}"))
+    return pairs.join(end("a"), "a").join(end("b"), "b").mapInPandas(run, "a long, b long")
 
 
 def judged_pairs(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
@@ -304,6 +349,24 @@ def across(members: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def beside(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of short lists of which one at least is far from the hub.
+
+    ``members``: value, id, n, known; the hub is not among them.
+    """
+    end = lambda x: members.select("value", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "known")])
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return (
+        end("a")
+        .filter("not known_a")
+        .join(end("b"), "value")
+        .filter(F.col("known_b") & (F.col("id_a") != F.col("id_b")) | (F.col("id_a") < F.col("id_b")))
+        .filter(sizes)
+        .select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+        .distinct()
+    )
+
+
 def by_difference(stars: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, a, b) that may be linked though one of them is not linked to their hub.
 
@@ -370,13 +433,26 @@ def links_between(classes: DataFrame, docs: DataFrame, width: int, percent: int,
     stars = members.groupBy("hub", "hub_n", "id", "n").agg(F.max("long").alias("long"))
     sizes = members.groupBy("hub").agg((F.min("id") != F.max("id")).alias("several"))
     stars = stage(stars.join(sizes, "hub"))
+    # Members whose sketch is far from the hub's have no need of whole sets in short lists.
+    pair = [F.col("hub").alias("a"), F.col("id").alias("b")]
+    near = stage(alike(stars.filter("not long").select(*pair), classes, percent, k))
+    near = near.select(F.col("a").alias("hub"), F.col("b").alias("id")).withColumn("near", F.lit(True))
+    known = F.col("long") | F.coalesce("near", F.lit(False))
+    stars = stage(stars.join(near, ["hub", "id"], "left").withColumn("known", known).drop("near"))
+    some = members.filter("not long").join(stars.select("hub", "id", "known"), ["hub", "id"])
+    pairs = stage(beside(stage(some.select("value", "id", "n", "known")), percent))
+    pairs = stage(alike(pairs, classes, percent, k))
+
+    stars = stars.filter("known").drop("known")
     hubs = stage(stars.select(F.col("hub").alias("id")).distinct())
-    wanted = stage(stars.select("id").unionByName(hubs).distinct())
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    wanted = stage(stars.select("id").unionByName(hubs).unionByName(ends).distinct())
     at = shared_dir(docs.sparkSession)
     sets = stage(full_sets(docs, width, wanted, hubs), at)
-    stars = stage(judged_stars(stars, sets, percent, k))
+    stars = stage(judged_stars(stars, sets, percent))
+    others = stage(judged_sets(pairs, sets, percent))
     remove(docs.sparkSession, at)
-    links = stars.filter("linked").select(F.col("hub").alias("a"), F.col("id").alias("b"))
+    links = stars.filter("linked").select(*pair).unionByName(others)
 
     labels = components(links).withColumnRenamed("node", "id")
     own_or = F.coalesce("component", "id").alias("component")
