@@ -84,6 +84,39 @@ def test_families_against_all_pairs(spark, monkeypatch, longest, length):
     assert got(neardup.near_duplicates(df, width=2)) == plain(rows, 2)
 
 
+def nested(seed, pairs, length):
+    """Pairs of a text and its first or last 80 to 85 hundredths."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(pairs):
+        words = [f"n{i}x{j}" for j in range(length)]
+        part = -(-length * (800 + i % 50) // 1000)
+        rows += [words, words[:part] if rng.random() < 0.5 else words[-part:]]
+    return [(i, " ".join(w)) for i, w in enumerate(rows)]
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_beginnings_and_ends_against_all_pairs(spark, width):
+    rows = nested(width, 60, 1000)
+    df = frame(spark, [(i, t, None, None, None) for i, t in rows])
+    want = plain(rows, width)
+    assert len({c for _, _, c in want}) < 70
+    assert got(neardup.near_duplicates(df, width=width)) == want
+
+
+def test_estimates_use_the_sketch_of_the_union(spark):
+    rng = np.random.default_rng(4)
+    sets, pairs = [], []
+    for i in range(300):
+        whole = np.unique(rng.integers(-(2**63), 2**63 - 1, 1000))
+        sets += [(2 * i, whole[:64].tolist()), (2 * i + 1, np.sort(rng.permutation(whole)[:800])[:64].tolist())]
+        pairs.append((2 * i, 2 * i + 1))
+    left = neardup.alike(
+        spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(sets, "id long, sketch array<long>"), 80, 64
+    )
+    assert left.count() == len(pairs)
+
+
 def test_one_document_of_each_group_stays(spark):
     rows = corpus(7, 30, 60)
     df = frame(spark, [(i, t, None, None, None) for i, t in rows])

@@ -42,7 +42,7 @@ LIST = 64
 CHARS = 1_000_000
 # Bound of the bitmaps that tell which texts to read once more: 16 MB.
 MAX_BITS = 1 << 27
-# Bits of each value that travel when sets are compared.
+# Bits of each value that travel when whole sets are compared.
 BITS = 40
 # Stands for a missing id.
 LAST = 2**63 - 1
@@ -217,21 +217,22 @@ def listed(classes: DataFrame, k: int, percent: int) -> DataFrame:
 def alike(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
     """``pairs`` (a, b) whose sketches allow the similarity: the union's sketch estimates it.
 
-    ``sketches``: id, sketch; only those of the pairs are dealt.
+    ``sketches``: id, sketch; only those of the pairs are dealt, with whole values, whose
+    low bits alone would be in another order.
     """
     t = percent / 100
     floor = t - SIGMAS * (t * (1 - t) / k) ** 0.5
 
     def pack(batches):
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "small": [packed(np.asarray(x)) for x in pdf["sketch"]]})
+            yield pd.DataFrame({"id": pdf["id"], "small": [np.asarray(x, "<i8").tobytes() for x in pdf["sketch"]]})
 
     def run(batches):
         for pdf in batches:
             keep = []
             for x, y in zip(pdf["small_a"], pdf["small_b"], strict=True):
-                x, y = unpacked(x), unpacked(y)
-                both = np.concatenate((x, y))
+                # In the order by which sketches were chosen, so the first k are the union's sketch.
+                both = np.concatenate((np.frombuffer(x, "<i8"), np.frombuffer(y, "<i8")))
                 both.sort()
                 again = both[1:] == both[:-1]  # in both sketches, so twice
                 union = np.delete(both, np.flatnonzero(again))[:k]
