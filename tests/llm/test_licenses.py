@@ -60,6 +60,86 @@ def test_changed_words_lower_the_coverage(spark):
     assert got[0].span_start == 0 and got[0].span_end == len(text)
 
 
+def plain_ends(text, template, need):
+    """(score, matched words, begin) of the best alignment that ends at each word, with the whole table."""
+    cells, best = {}, {}
+    for j, word in enumerate(template):
+        for i, other in enumerate(text):
+            score, matched, begin = cells.get((i - 1, j - 1), (0, 0, i))
+            same = word == other
+            ways = [(score + (licenses.MATCH if same else licenses.MISMATCH), matched + same, begin)]
+            for score, matched, begin in filter(None, (cells.get((i, j - 1)), cells.get((i - 1, j)))):
+                ways.append((score + licenses.GAP, matched, begin))
+            if max(ways)[0] > 0:
+                cells[i, j] = max(ways)
+                if cells[i, j][1] >= need:
+                    best[i] = max(best.get(i, (0, 0, 0)), cells[i, j])
+    return best
+
+
+def plain_best(text, template, need):
+    """(begin, end, matched words, score) of the best alignment in a text, the first of equals, or None."""
+    best = plain_ends(text, template, need)
+    if not best:
+        return None
+    end = min(best, key=lambda i: (-best[i][0], -best[i][1], i))
+    score, matched, begin = best[end]
+    return begin, end + 1, matched, score
+
+
+def loose_texts(seed, count):
+    """Texts of notices with words changed, left out and put in, close together."""
+    rng = np.random.default_rng(seed)
+    notices = [n.split() for n in licenses.TEMPLATES.values()]
+    common = "the of a this work is license under and all rights are other words".split()
+    for _ in range(count):
+        words = []
+        for _ in range(rng.integers(1, 5)):
+            for w in notices[rng.integers(len(notices))]:
+                dice = rng.random()
+                words += [] if dice < 0.06 else [rng.choice(common)] if dice < 0.12 else [w]
+                if rng.random() < 0.08:
+                    words.append(rng.choice(common))
+            words += rng.choice(common, rng.integers(0, 5)).tolist()
+        yield " ".join(words)
+
+
+def found_in(texts):
+    return licenses.matches(texts, *licenses.compiled(licenses.TEMPLATES, licenses.COVERAGE))
+
+
+def hashes_of(text):
+    hashes, _, begin, end = licenses.words_of([text])
+    return hashes.tolist(), begin.tolist(), end.tolist()
+
+
+def test_best_match_against_unrestricted_alignment():
+    texts = list(loose_texts(3, 60))
+    got = {}
+    for doc, name, begin, end, _, matched, score in found_in(texts):
+        got[doc, name] = max(got.get((doc, name), (0, 0, 0)), (score, matched, -begin, -end))
+    want = {}
+    for i, text in enumerate(texts):
+        words, begin, end = hashes_of(text)
+        for name, notice in licenses.TEMPLATES.items():
+            template = hashes_of(notice)[0]
+            best = plain_best(words, template, licenses.COVERAGE * len(template) - 1e-9)
+            if best:
+                want[i, name] = (best[3], best[2], -begin[best[0]], -end[best[1] - 1])
+    assert len(want) > 80 and got == want
+
+
+def test_loose_forms_of_short_notices(spark):
+    texts = [
+        ("MIT", "It is released under an MIT License"),
+        ("MIT", "Released under the terms of the MIT License"),
+        ("rights-reserved", "All rights are reserved"),
+        ("CC-BY-NC-4.0", "Licensed under CC xx NC 4.0."),
+    ]
+    got = licenses.scan(frame(spark, [(i, t, "en", "a", 0) for i, (_, t) in enumerate(texts)])).collect()
+    assert sorted((r.doc_id, r.template) for r in got) == [(i, n) for i, (n, _) in enumerate(texts)]
+
+
 def test_odd_rows(odd, none):
     assert licenses.scan(odd).count() == 0
     assert licenses.scan(none).count() == 0

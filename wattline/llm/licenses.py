@@ -1,19 +1,17 @@
-"""License texts in documents: winnowed fingerprints, then banded alignment.
+"""License texts in documents: stretches that share enough words, then local alignment.
 
-Templates are short license notices.  Their words' runs are hashed, and in every window of
-runs the smallest hash is kept: these fingerprints make an inverted index (fingerprint to
-template and place), which is small and sent to the workers.  Documents are fingerprinted
-the same way, whole.  A shared passage of ``RUN + WINDOW - 1`` words shares a fingerprint;
-templates shorter than that are looked up by every run.
+Templates are short license notices.  Every word of a template scores in a document, every
+other word costs, as in the alignment: where this running score stays above zero is a
+stretch.  An alignment's own score is never above it, so each lies within one stretch, and
+stretches that hold fewer of the template's words than the wanted coverage have none.
 
-Each hit points to a diagonal of (place in the document, place in the template).  Around it
-the template is aligned with the document within a band, word by word; the alignment gives
-the matched part of the template and its span in the document.
+The rest is aligned with the template word by word, without a band, all stretches of a
+template at once; the alignment gives the matched part of the template and its span in the
+document.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.common import chunks
-from wattline.llm.hashing import run_hashes
 from wattline.llm.textstats import DIGIT, LETTER, Texts, span_hashes
 
-RUN, WINDOW = 3, 2
-# Words by which an alignment may leave the diagonal of its hit, on either side.
+# Words by which ``align`` may leave its diagonal, on either side.
 BAND = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 # Share of a template's words that must be matched.
@@ -91,34 +87,6 @@ def winnow(hashes: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(keep)
 
 
-class Index:
-    """Fingerprints of the templates: fingerprint to (template, place)."""
-
-    def __init__(self, templates: dict[str, str], run: int, window: int):
-        self.names = list(templates)
-        hashes, owner, *_ = words_of(list(templates.values()))
-        self.words = [hashes[owner == i] for i in range(len(templates))]
-        # A template with fewer words than a run cannot be hashed as one.
-        self.run = max(1, min([run, *map(len, self.words)]))
-        runs, whose, place = run_hashes(hashes, owner, self.run)
-        first = np.searchsorted(owner, np.arange(len(templates)))
-        self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        # In a template shorter than what winnowing is sure to find, every run counts, and
-        # so does every run of a document that it holds.
-        short = np.array([len(w) < self.run + window - 1 for w in self.words], bool)
-        for i in np.union1d(winnow(runs, whose, window), np.flatnonzero(short[whose])).tolist():
-            self.at[int(runs[i])].append((int(whose[i]), int(place[i] - first[whose[i]])))
-        self.known = np.array(list(self.at), np.uint64)
-        self.always = np.unique(runs[short[whose]])
-        self.window = window
-
-    def hits(self, runs: np.ndarray, owner: np.ndarray) -> list[int]:
-        """Indices of the runs that are fingerprints both here and there."""
-        kept = winnow(runs, owner, self.window)
-        kept = kept[np.isin(runs[kept], self.known)]
-        return np.union1d(kept, np.flatnonzero(np.isin(runs, self.always))).tolist()
-
-
 def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND):
     """Best local alignment with places (i, j) of text and template, |i - j - shift| <= band.
 
@@ -157,44 +125,132 @@ def align(text: np.ndarray, template: np.ndarray, shift: int, band: int = BAND):
     return best
 
 
+# A cell of the alignment is one number: score, matched words and the place it began.
+ONE, WORD = 1 << 46, 1 << 30
+PLACE = WORD - 1
+
+
+class Template:
+    """A template's words as codes of ``vocabulary``, and how many must be matched."""
+
+    def __init__(self, name: str, words: np.ndarray, vocabulary: np.ndarray, coverage: float):
+        self.name = name
+        self.codes = np.searchsorted(vocabulary, words)
+        self.count = np.bincount(self.codes, minlength=len(vocabulary) + 1)
+        self.need = max(1, int(np.ceil(coverage * len(words) - 1e-9)))
+
+
+def compiled(templates: dict[str, str], coverage: float):
+    """The sorted hashes of all words of the templates, and a ``Template`` each."""
+    hashes, owner, *_ = words_of(list(templates.values()))
+    vocabulary = np.unique(hashes)
+    found = [Template(name, hashes[owner == i], vocabulary, coverage) for i, name in enumerate(templates)]
+    return vocabulary, [t for t in found if len(t.codes)]
+
+
+def stretches(codes: np.ndarray, owner: np.ndarray, template: Template):
+    """Begins and ends of the stretches of words that can hold a match, each within one text."""
+    hit = template.count[codes] > 0
+    if hit.sum() < template.need:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # One place more before each text and at the end, with a drop below all that was before.
+    at = np.arange(len(codes)) + owner + 1
+    step = np.full(len(codes) + int(owner[-1]) + 2, -MATCH * len(codes) - 1, np.int64)
+    step[at] = np.where(hit, MATCH, -1)
+    total = np.cumsum(step)
+    above = (total > np.minimum.accumulate(total))[at]
+    new = np.ones(len(codes), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | ~above[:-1]
+    begin = np.flatnonzero(above & new)
+    last = np.ones(len(codes), bool)
+    last[:-1] = new[1:] | ~above[1:]
+    return enough(codes, begin, np.flatnonzero(above & last) + 1, template)
+
+
+def enough(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, template: Template):
+    """Of the stretches those that share the needed number of words with the template."""
+    before = np.concatenate(([0], np.cumsum(template.count[codes] > 0)))
+    some = before[end] - before[begin] >= template.need
+    begin, end = begin[some], end[some]
+    if not len(begin):
+        return begin, end
+    at, which = spread(begin, end)
+    pairs, n = np.unique(which * len(template.count) + codes[at], return_counts=True)
+    shared = np.minimum(n, template.count[pairs % len(template.count)])
+    some = np.bincount(pairs // len(template.count), shared, len(begin)) >= template.need
+    return begin[some], end[some]
+
+
+def spread(begin: np.ndarray, end: np.ndarray):
+    """All places in the stretches, and the number of the stretch of each."""
+    size = end - begin
+    which = np.repeat(np.arange(len(begin)), size)
+    return np.arange(len(which)) + np.repeat(begin - (np.cumsum(size) - size), size), which
+
+
+def best_ends(text: np.ndarray, template: Template) -> np.ndarray:
+    """The best cell that ends at each word and matches enough words, 0 where there is none.
+
+    Rows run along the template, all of the text at a time.  Of equal scores the one with
+    more matched words is best, then the one that begins last.
+    """
+    n = len(text)
+    fresh = np.arange(n)
+    row, best = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    gap = -GAP * ONE
+    for code in template.codes:
+        come = fresh.copy()
+        come[1:] = np.where(row[:-1] > 0, row[:-1], come[1:])
+        row = np.maximum(come + np.where(text == code, MATCH * ONE + WORD, MISMATCH * ONE), row - gap)
+        row[row < ONE] = 0
+        # Words of the text left out: 1, then 2, 4, ... more, up to what a score can pay for.
+        step = 1
+        while step <= MATCH * len(template.codes):
+            row[step:] = np.maximum(row[step:], row[:-step] - step * gap)
+            step *= 2
+        row[row < ONE] = 0
+        best = np.maximum(best, np.where((row & (ONE - 1)) // WORD >= template.need, row, 0))
+    return best
+
+
+def best_matches(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, template: Template):
+    """(begin, end, matched words, score) of matches in the stretches, none of which overlap."""
+    at, which = spread(begin, end)
+    # Between stretches so many words that no score survives them.
+    place = np.arange(len(at)) + which * (MATCH * len(template.codes) + 1)
+    text = np.full(place[-1] + 1, -1, np.int64)
+    text[place] = codes[at]
+    best = best_ends(text, template)[place]
+    ends = np.flatnonzero(best)
+    out, free = [], np.ones(len(at), bool)
+    for i in ends[np.lexsort((ends, -(best[ends] // WORD)))].tolist():
+        first = int(np.searchsorted(place, best[i] & PLACE))
+        if free[first : i + 1].all():
+            free[first : i + 1] = False
+            out.append((int(at[first]), int(at[i]) + 1, int((best[i] & (ONE - 1)) // WORD), int(best[i] // ONE)))
+    return out
+
+
 FOUND = "doc_id long, template string, span_start long, span_end long, coverage double, matched long, score long"
 
 
-def matches(texts: list[str], index: Index, coverage: float, band: int):
+def matches(texts: list[str], vocabulary: np.ndarray, templates: list[Template]):
     """(text number, template, begin, end, coverage, matched words, score) of each match.
 
-    Hits of one template whose diagonals are within the band and whose template ranges
-    overlap in the text are one place.  Matches of one template never overlap.
+    Matches of one template never overlap.
     """
     hashes, owner, begin, end = words_of(texts)
-    runs, whose, place = run_hashes(hashes, owner, index.run)
-    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    if not len(hashes) or not len(vocabulary):
+        return []
+    codes = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    codes[vocabulary[codes] != hashes] = len(vocabulary)
     out = []
-    places = defaultdict(list)
-    for i in index.hits(runs, whose):
-        doc = int(whose[i])
-        for template, at in index.at[int(runs[i])]:
-            places[doc, template].append(int(place[i] - first[doc]) - at)
-    for (doc, template), shifts in sorted(places.items()):
-        text = hashes[first[doc] : first[doc + 1]]
-        pattern = index.words[template]
-        candidates = []
-        last = None
-        for shift in sorted(set(shifts)):
-            if last is not None and shift - last <= band // 2:
-                continue
-            last = shift
-            low = max(0, shift - band)
-            high = min(len(text), shift + len(pattern) + band)
-            got = align(text[low:high], pattern, shift - low, band)
-            if got[1] >= coverage * len(pattern):
-                candidates.append((-got[1], got[2] + low, got[3] + low, got[0]))
-        taken = []
-        for matched, a, b, score in sorted(candidates):
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
-                at = first[doc]
-                out.append((doc, index.names[template], int(begin[at + a]), int(end[at + b - 1]), -matched / len(pattern), -matched, score))
+    for template in templates:
+        some = stretches(codes, owner, template)
+        if len(some[0]):
+            for a, b, matched, score in best_matches(codes, *some, template):
+                coverage = matched / len(template.codes)
+                out.append((int(owner[a]), template.name, int(begin[a]), int(end[b - 1]), coverage, matched, score))
     return out
 
 
@@ -204,26 +260,24 @@ def scan(
     id_: str = "doc_id",
     text: str = "text",
     coverage: float = COVERAGE,
-    run: int = RUN,
-    window: int = WINDOW,
-    band: int = BAND,
 ) -> DataFrame:
     """One row per license notice found.
 
-    Columns: doc_id, template, span_start and span_end (characters of the text), coverage
-    (matched share of the template's words), matched (their number) and score.  Matches of
-    different templates may overlap.  Null and empty texts have none, repeated rows have
-    each their own, an empty table gives no rows; other columns are not read.  ``templates``
-    is a parameter of the job and must fit into memory many times over.
+    A notice is a span whose best local alignment with a template matches ``coverage`` of the
+    template's words.  Columns: doc_id, template, span_start and span_end (characters of the
+    text), coverage (matched share of the template's words), matched (their number) and
+    score.  Matches of different templates may overlap.  Null and empty texts have none,
+    repeated rows have each their own, an empty table gives no rows; other columns are not
+    read.  ``templates`` is a parameter of the job and must fit into memory many times over.
     """
 
     def find(batches: Iterator[pd.DataFrame]):
-        index = Index(templates, run, window)
+        vocabulary, known = compiled(templates, coverage)
         for pdf in batches:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             rows = []
             for part in chunks(texts, CHARS):
-                rows += [(ids[part[m[0]]], *m[1:]) for m in matches([texts[i] for i in part], index, coverage, band)]
+                rows += [(ids[part[m[0]]], *m[1:]) for m in matches([texts[i] for i in part], vocabulary, known)]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in FOUND.split(", ")])
             yield out.astype({"doc_id": "Int64"})
 
