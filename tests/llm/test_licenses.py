@@ -140,6 +140,42 @@ def test_loose_forms_of_short_notices(spark):
     assert sorted((r.doc_id, r.template) for r in got) == [(i, n) for i, (n, _) in enumerate(texts)]
 
 
+def plain_matches(text, template, need, at=0):
+    """The best match and those before and after it, as long as there are any."""
+    best = plain_best(text, template, need)
+    if best is None:
+        return []
+    begin, end, matched, score = best
+    return (
+        [(at + begin, at + end, matched, score)]
+        + plain_matches(text[:begin], template, need, at)
+        + plain_matches(text[end:], template, need, at + end)
+    )
+
+
+def test_all_matches_against_unrestricted_alignment():
+    rng = np.random.default_rng(6)
+    texts = list(loose_texts(4, 40))
+    for notice in licenses.TEMPLATES.values():
+        stack = [w for _ in range(5) for w in notice.split() if rng.random() > 0.04]
+        texts += [" ".join(stack), f"{notice} " * 3]
+    want = []
+    for i, text in enumerate(texts):
+        words, begin, end = hashes_of(text)
+        for name, notice in licenses.TEMPLATES.items():
+            template = hashes_of(notice)[0]
+            for a, b, matched, score in plain_matches(words, template, licenses.COVERAGE * len(template) - 1e-9):
+                want.append((i, name, begin[a], end[b - 1], matched / len(template), matched, score))
+    assert len(want) > 150 and sorted(found_in(texts)) == sorted(want)
+
+
+def test_notices_one_after_the_other(spark):
+    texts = ["Released under the MIT License. " * 2, "All rights reserved. " * 4, "Licensed under CC BY-NC 4.0.\n" * 2]
+    got = licenses.scan(frame(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])).collect()
+    assert [sum(r.doc_id == i for r in got) for i in range(3)] == [2, 4, 2]
+    assert len({(r.doc_id, r.span_start) for r in got}) == 8
+
+
 def test_odd_rows(odd, none):
     assert licenses.scan(odd).count() == 0
     assert licenses.scan(none).count() == 0

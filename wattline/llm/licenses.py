@@ -214,20 +214,42 @@ def best_ends(text: np.ndarray, template: Template) -> np.ndarray:
 
 
 def best_matches(codes: np.ndarray, begin: np.ndarray, end: np.ndarray, template: Template):
-    """(begin, end, matched words, score) of matches in the stretches, none of which overlap."""
-    at, which = spread(begin, end)
-    # Between stretches so many words that no score survives them.
-    place = np.arange(len(at)) + which * (MATCH * len(template.codes) + 1)
-    text = np.full(place[-1] + 1, -1, np.int64)
-    text[place] = codes[at]
-    best = best_ends(text, template)[place]
-    ends = np.flatnonzero(best)
-    out, free = [], np.ones(len(at), bool)
-    for i in ends[np.lexsort((ends, -(best[ends] // WORD)))].tolist():
-        first = int(np.searchsorted(place, best[i] & PLACE))
-        if free[first : i + 1].all():
-            free[first : i + 1] = False
+    """(begin, end, matched words, score) of matches in the stretches, none of which overlap.
+
+    Each round takes the best matches of each stretch; what lies before, between and after
+    them is a stretch of the next round.
+    """
+    out = []
+    while len(begin):
+        at, which = spread(begin, end)
+        # Between stretches so many words that no score survives them.
+        place = np.arange(len(at)) + which * (MATCH * len(template.codes) + 1)
+        text = np.full(place[-1] + 1, -1, np.int64)
+        text[place] = codes[at]
+        best = best_ends(text, template)[place]
+        value = best // WORD  # score and matched words
+        top = np.maximum.reduceat(value, np.searchsorted(which, np.arange(len(begin))))
+        next_begin, next_end, last = [], [], -1
+        for i in np.flatnonzero((value > 0) & (value == top[which])).tolist():
+            first = int(np.searchsorted(place, best[i] & PLACE))
+            mine = which[i]
+            if last < 0 or which[last] != mine:
+                if last >= 0:
+                    next_begin.append(int(at[last]) + 1)
+                    next_end.append(int(end[which[last]]))
+                free = int(begin[mine])
+            else:
+                free = int(at[last]) + 1
+            if at[first] < free:
+                continue
             out.append((int(at[first]), int(at[i]) + 1, int((best[i] & (ONE - 1)) // WORD), int(best[i] // ONE)))
+            next_begin.append(free)
+            next_end.append(int(at[first]))
+            last = i
+        if last >= 0:
+            next_begin.append(int(at[last]) + 1)
+            next_end.append(int(end[which[last]]))
+        begin, end = enough(codes, np.array(next_begin, np.int64), np.array(next_end, np.int64), template)
     return out
 
 
