@@ -81,6 +81,29 @@ def test_learns_lines_and_leaves_others_alone(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
 
 
+@pytest.mark.parametrize("rows", [quality.TRAIN_ROWS, 60])
+def test_learns_from_lines_at_the_end_of_long_texts(spark, rows):
+    rng = np.random.default_rng(4)
+    line = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(6)) + "."
+    texts, labels = [], []
+    for i in range(200):
+        bad = i % 2 == 0
+        texts.append((i, "\n".join([line() for _ in range(35)] + [junk(rng, i % 3) if bad else line() for _ in range(50)]), "en", "a", 0))
+        labels.append((i, int(not bad), 0))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = quality.classify(frame(spark, texts), labels, rows).collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in got if r.held_out]) > 0.95
+
+
+def test_chains_cover_whole_texts(spark):
+    texts = ["\n".join(f"line {j}" for j in range(n)) for n in (1, 32, 33, 200)]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, text string, label int")
+    got = quality.chains_of(docs, 1.0).groupBy("id").sum("lines").collect()
+    assert {r[0]: r[1] for r in got} == {0: 1, 1: 32, 2: 33, 3: 200}
+    places = [r.place for r in quality.chains_of(docs, 0.4).collect()]
+    assert 0 < len(places) < 11 and max(places) >= quality.CHAIN
+
+
 def test_odd_rows(odd, labels, none):
     got = quality.classify(odd, labels).collect()
     assert len(got) == len(ODD_ROWS) and all(0 <= r.score <= 1 for r in got)

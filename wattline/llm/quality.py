@@ -7,9 +7,10 @@ weighted by line length, with its odds brought in line with the labels' odds, is
 document's score.
 
 The field is fitted by gradient steps on the conditional likelihood of a sample of labelled
-documents, at most ``TRAIN_ROWS`` of them, whose label all their lines share; chains are
-cut after ``CHAIN`` lines for fitting only.  Scoring covers whole texts, spread over the
-cluster, without a shuffle.
+documents, at most ``TRAIN_ROWS`` of them, whose label all their lines share.  For fitting
+only, their whole texts are cut into chains of ``CHAIN`` lines; of more than ``CHAIN`` lines
+a document on average, chains from all places are chosen by a hash.  Calibration and scoring
+cover whole texts, spread over the cluster, without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.common import chunks, held_out
+from wattline.llm.hashing import mix
 from wattline.llm.textstats import DIGIT, LETTER, MARK, SIGN, SPACE, UPPER, Texts, span_hashes, sums
+from wattline.sources.sinks import stage
 
 TRAIN_ROWS, CHAIN, ROUNDS = 6_000, 32, 150
 CHARS = 1_000_000
@@ -176,39 +179,62 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, i
     )
 
 
-def _sample_lines(batches: Iterator[pd.DataFrame]):
-    for pdf in batches:
-        for part in chunks(pdf["text"].tolist(), CHARS):
-            here = pdf.iloc[part]
-            features, length, first = line_features(here["text"].tolist())
-            cut = [slice(a, min(b, a + CHAIN)) for a, b in zip(first, first[1:])]
-            yield pd.DataFrame(
-                {
-                    "id": here["id"].to_numpy(),
-                    "label": here["label"].to_numpy(),
-                    "lines": [x.stop - x.start for x in cut],
-                    "features": [features[x].astype("<f4").tobytes() for x in cut],
-                    "lengths": [length[x].astype("<i8").tobytes() for x in cut],
-                }
-            )
+def chains_of(docs: DataFrame, share: float) -> DataFrame:
+    """(id, label, place, lines, features) of a ``share`` of the chains of whole texts, chosen by a hash."""
+
+    def run(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            for part in chunks(pdf["text"].tolist(), CHARS):
+                here = pdf.iloc[part]
+                features, _, first = line_features(here["text"].tolist())
+                begin = [np.arange(a, b, CHAIN) for a, b in zip(first, first[1:])]
+                whose = np.repeat(np.arange(len(part)), [len(x) for x in begin])
+                begin = np.concatenate(begin)
+                place = begin - first[whose]
+                ids = here["id"].to_numpy(np.int64)[whose]
+                keep = np.flatnonzero(mix(mix(ids.view(np.uint64)) + place.astype(np.uint64)) < share * 2.0**64)
+                cut = [slice(begin[i], min(first[whose[i] + 1], begin[i] + CHAIN)) for i in keep]
+                yield pd.DataFrame(
+                    {
+                        "id": ids[keep],
+                        "label": here["label"].to_numpy()[whose[keep]],
+                        "place": place[keep],
+                        "lines": [x.stop - x.start for x in cut],
+                        "features": [features[x].astype("<f4").tobytes() for x in cut],
+                    }
+                )
+
+    return docs.mapInPandas(run, "id long, label int, place long, lines int, features binary")
+
+
+def means_of(docs: DataFrame, weight, trans) -> DataFrame:
+    """(label, mean) of whole texts."""
+
+    def run(batches: Iterator[pd.DataFrame]):
+        for pdf in batches:
+            for part in chunks(pdf["text"].tolist(), CHARS):
+                here = pdf.iloc[part]
+                mean = document_means(*line_features(here["text"].tolist()), weight, trans)
+                yield pd.DataFrame({"label": here["label"].to_numpy(), "mean": mean})
+
+    return docs.mapInPandas(run, "label int, mean double")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
     """The field and its calibration from a bounded sample of labelled documents."""
     docs = docs.select("doc_id", "text")
-    sample = training_sample(docs, labels, "quality", rows).mapInPandas(
-        _sample_lines, "id long, label int, lines int, features binary, lengths binary"
-    )
-    pdf = sample.toPandas().sort_values(["id", "lines", "features"], ignore_index=True)
+    sample = stage(training_sample(docs, labels, "quality", rows))
+    lines = sample.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0]
+    share = min(1.0, rows * CHAIN / max(1, lines or 0))
+    pdf = chains_of(sample, share).toPandas().sort_values(["id", "place", "lines", "features"], ignore_index=True)
     width = 1 + 3 * len(OWN)
     if not len(pdf):
         return np.zeros(width), np.zeros((2, 2)), 1.0, 0.0
     features = np.frombuffer(b"".join(pdf["features"]), "<f4").reshape(-1, width).astype(float)
-    length = np.frombuffer(b"".join(pdf["lengths"]), "<i8")
     first = np.concatenate(([0], np.cumsum(pdf["lines"])))
-    label = pdf["label"].to_numpy()
-    weight, trans = fit(features, first, label)
-    return weight, trans, *calibrate(document_means(features, length, first, weight, trans), label)
+    weight, trans = fit(features, first, pdf["label"].to_numpy())
+    means = means_of(sample, weight, trans).toPandas().sort_values(["mean", "label"], ignore_index=True)
+    return weight, trans, *calibrate(means["mean"].to_numpy(), means["label"].to_numpy())
 
 
 def score(docs: DataFrame, model, text: str = "text", name: str = "score") -> DataFrame:
