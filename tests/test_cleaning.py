@@ -2,7 +2,7 @@ import re
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import gappy, rows, to_spark
+from panel_helpers import gappy, rows, to_spark
 from pyspark.sql import functions as F
 
 from wattline.operators import quantile

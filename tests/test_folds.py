@@ -1,6 +1,6 @@
 import pandas as pd
 import pytest
-from conftest import gappy, to_spark
+from panel_helpers import gappy, to_spark
 from pyspark.sql import functions as F
 
 from wattline.operators.folds import complete_cases, rolling_origin_splits, time_split

@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import rows, to_spark
+from panel_helpers import rows, to_spark
 from pyspark.sql import functions as F
 
 from wattline.operators.quality import check_regular_index, missing_periods, summarise_missing

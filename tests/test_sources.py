@@ -1,6 +1,6 @@
 import pandas as pd
 import pytest
-from conftest import rows
+from panel_helpers import rows
 
 from wattline.operators.cleaning import drop_duplicate_readings
 from wattline.plans.dataset import write_dataset
