@@ -122,4 +122,4 @@ def test_collapsed_text(spark):
     text = "so it goes " + "on and  on\n" * 8 + "and ends"
     row = periodic.periodic_runs(frame(spark, [(1, text, "en", "a", 1)])).first()
     assert row.runs[0].asDict() == {"start": 3, "length": 24, "period": 3}
-    assert row.collapsed == "so it goes on and on ends"
+    assert row.collapsed == "so it goes on and on and ends"
