@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattline.llm import chat, exact, langid, licenses, media, mixing, neardup, packing, periodic, quality, toxicity
+from wattline.llm import chat, exact, langid, licenses, media, mixing, neardup, packing, periodic, quality, topk, toxicity
 from wattline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_periodic_runs")
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.repeated_tail))
+
+
+@query(
+    "op11_norm_sorted_top_k",
+    """
+    WITH v AS (
+      SELECT row_number() OVER () AS r, vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), scored AS (
+      SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0
+    ), ranked AS (
+      SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank, vec_id, score FROM scored
+    )
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+)
+def op11_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled("embedding").alias("vector"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
