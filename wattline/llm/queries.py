@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattline.llm import chat, exact, langid, licenses, media, mixing, neardup, packing, periodic, quality, topk, toxicity
+from wattline.llm import bitsliced, chat, exact, langid, licenses, media, mixing, neardup, packing, periodic, quality, topk, toxicity
 from wattline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,36 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_norm_sorted_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", topk.scaled("embedding").alias("vector"))
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+@query(
+    "op12_bit_sliced_search",
+    r"""
+    WITH docs AS (
+      SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+    ), size AS (
+      SELECT count(*) FILTER (len(w) > 0) AS docs, sum(len(w))::BIGINT AS total FROM docs
+    ), tf AS (
+      SELECT r, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS term FROM docs) GROUP BY ALL
+    ), df AS (
+      SELECT term, count(*) AS df FROM tf GROUP BY term
+    ), items AS (
+      SELECT i, item_id, term, count(*) AS copies FROM (
+        SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(
+          translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+    ), scored AS (
+      SELECT i, item_id, r, doc_id, sum(copies * floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT
+        * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // total)))))::BIGINT AS score
+      FROM items JOIN tf USING (term) JOIN df USING (term), size GROUP BY ALL
+    ), ranked AS (
+      SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score
+      FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def op12_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
