@@ -40,7 +40,7 @@ def features(panel):
 
 
 def test_registry():
-    assert sorted(MODEL_REGISTRY) == ["lightgbm", "profile_mean", "ridge", "seasonal_naive"]
+    assert sorted(MODEL_REGISTRY) == ["gbt", "lightgbm", "profile_mean", "ridge", "seasonal_naive"]
     assert build_model("ridge", alpha=2.0).alpha == 2.0
     with pytest.raises(KeyError, match="registered as 'x'"):
         build_model("x")

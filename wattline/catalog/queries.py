@@ -1305,7 +1305,7 @@ _STUMP_RATE = 0.3
 def _stumps(spark, sf, rounds):
     frame = stage(add_calendar_features(readings(spark, sf)).select("site_id", "timestamp", "value", "day_of_week"))
     stumps = {"n_estimators": rounds, "learning_rate": _STUMP_RATE, "num_leaves": 2, "min_child_samples": 20}
-    fitted = fit_until(frame, ["day_of_week"], CUTOFF, model="lightgbm", **stumps)
+    fitted = fit_until(frame, ["day_of_week"], CUTOFF, model="gbt", **stumps)
     _, after = time_split(frame, CUTOFF)
     return shown(predict(fitted, after).select(*_SCORED), prediction=8)
 

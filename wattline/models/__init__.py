@@ -5,9 +5,10 @@ from __future__ import annotations
 from .base import Fitted, Forecaster
 from .baseline import ProfileMean, SeasonalNaive
 from .boosted import BoostedTrees
+from .leafwise import LeafwiseTrees
 from .linear import Ridge
 
-MODEL_REGISTRY = {m.kind: m for m in (SeasonalNaive, ProfileMean, Ridge, BoostedTrees)}
+MODEL_REGISTRY = {m.kind: m for m in (SeasonalNaive, ProfileMean, Ridge, LeafwiseTrees, BoostedTrees)}
 
 
 def build_model(name: str = "lightgbm", **params) -> Forecaster:
@@ -22,6 +23,7 @@ __all__ = [
     "BoostedTrees",
     "Fitted",
     "Forecaster",
+    "LeafwiseTrees",
     "ProfileMean",
     "Ridge",
     "SeasonalNaive",

@@ -1,4 +1,4 @@
-"""Gradient-boosted trees on Spark ML."""
+"""Gradient-boosted trees on Spark ML, of balanced depth (``leafwise`` grows by leaf)."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ class BoostedTrees(Forecaster):
     accepted and ignored.
     """
 
-    kind = "lightgbm"
+    kind = "gbt"
 
     def __init__(
         self,
