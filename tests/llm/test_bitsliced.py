@@ -67,6 +67,8 @@ def test_odd_rows(spark, odd):
 def test_skewed_corpus(spark, kinds, monkeypatch):
     """Many copies, ties, common and rare words, few and many occurrences, several passes."""
     monkeypatch.setattr(bitsliced, "BLOCK_DOCS", 64)
+    if kinds:  # more terms than are sent to the tasks
+        monkeypatch.setattr(bitsliced, "ITEM_TERMS", 50)
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
 

@@ -40,9 +40,11 @@ TERM = re.compile(rb"[0-9a-z\x80-\xff]+")
 BITS, PROBES = 8, 3
 # Bytes of a block of signatures, and documents it has at most.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 8_192
-# Characters of texts indexed at once, distinct terms counted before a task gives its counts away.
+# Characters of texts indexed at once; terms that a task counts before it gives its counts away,
+# and terms whose hashes it remembers.
 CHARS, COUNTED = 1_000_000, 200_000
-# Terms of items that are searched for in one pass.
+# Terms of items that are searched for in one pass; up to as many distinct ones are sent to the tasks
+# that count, beyond that they count all terms.
 ITEM_TERMS = 100_000
 # Wanted documents up to which they are sent to all tasks that read texts.
 BROADCAST = 500_000
@@ -84,8 +86,9 @@ def signatures(counts: list[Counter], known: dict[bytes, int]) -> list[tuple[int
     """(bits, signature) of documents given by their terms' counts."""
     sizes = np.array([len(c) for c in counts], np.int64)
     for c in counts:
-        for t in c.keys() - known.keys():
-            known[t] = hash_of(t)
+        for t in c:
+            if t not in known:
+                known[t] = hash_of(t)
     hashes = np.fromiter((known[t] for c in counts for t in c), np.uint64, int(sizes.sum()))
     tf = np.fromiter((x for c in counts for x in c.values()), np.int64, len(hashes))
     steps = levels(int(tf.max(initial=1)))
@@ -103,8 +106,11 @@ def signatures(counts: list[Counter], known: dict[bytes, int]) -> list[tuple[int
     return [(b, packed[a // 8 : (a + b) // 8]) for a, b in zip(base.tolist(), bits.tolist())]
 
 
-def index_rows(docs: DataFrame) -> DataFrame:
-    """A signature row per document with a term, and counts of documents per term from each task."""
+def index_rows(docs: DataFrame, asked: frozenset[bytes] | None = None) -> DataFrame:
+    """A signature row per document with a term, and counts of documents per term from each task.
+
+    With ``asked`` only these terms are counted.
+    """
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -125,7 +131,7 @@ def index_rows(docs: DataFrame) -> DataFrame:
                     continue
                 found = signatures(counts, known)
                 for c in counts:
-                    df.update(c.keys())
+                    df.update(c.keys() if asked is None else asked.intersection(c))
                 out = frame[["doc_id", "ref", "same"]].iloc[some].reset_index(drop=True)
                 out["n"] = [sum(c.values()) for c in counts]
                 out["bits"] = [b for b, _ in found]
@@ -133,7 +139,9 @@ def index_rows(docs: DataFrame) -> DataFrame:
                 yield out.assign(term=None, df=None).astype({"doc_id": "Int64", "df": "Int64"})
                 if len(df) > COUNTED:
                     yield counted()
-                    known, df = {}, Counter()
+                    df = Counter()
+                if len(known) > COUNTED:
+                    known = {}
         if df:
             yield counted()
 
@@ -349,13 +357,14 @@ def search(docs: DataFrame, items: DataFrame, k: int = 20, item_terms: int = ITE
     answered each.  Empty tables give no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = stage(index_rows(docs))
     asked = stage(item_rows(items))
+    terms = stage(asked.select(F.explode("terms").alias("term")).distinct())
+    few = terms.count() <= ITEM_TERMS
+    rows = stage(index_rows(docs, frozenset(bytes(r["term"]) for r in terms.collect()) if few else None))
     signed = rows.where(F.col("signature").isNotNull())
     n_docs, total = signed.agg(F.count(F.lit(1)), F.sum("n")).first()
     blocks = stage(blocks_of(signed.select("doc_id", "ref", "same", "n", "bits", "signature"), k))
-    # Few terms are asked for: they meet the tasks' counts before these are added up.
-    terms = asked.select(F.explode("terms").alias("term")).distinct()
+    # Only terms that are asked for are added up.
     counts = rows.where(F.col("term").isNotNull()).select("term", "df").join(terms, "term")
     counts = stage(counts.groupBy("term").agg(F.sum("df").alias("df")))
 
