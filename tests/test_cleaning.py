@@ -118,6 +118,45 @@ def test_narrowing_finds_exact_medians(spark, scale):
         assert got[g] == (mid, (part.x - mid).abs().median()), g
 
 
+@pytest.mark.parametrize("ranked", [2_000_000, 3])
+@pytest.mark.parametrize("shares", [None, ((0, 0.5),)], ids=["bracket", "missed"])
+def test_medians_of_large_groups(spark, monkeypatch, ranked, shares):
+    """Brackets that hold, that hold too much, and that miss the middle give the same medians."""
+    monkeypatch.setattr(quantile, "RANKED", ranked)
+    if shares:
+        monkeypatch.setattr(quantile, "SHARES", shares)
+    rng = np.random.default_rng(8)
+    groups = {
+        "wide": rng.normal(50, 20, 60_000),
+        "heavy": np.concatenate([np.full(20_000, 3.0), rng.normal(3, 1, 20_001)]),
+        "steps": rng.integers(0, 7, 6_000).astype(float),
+        "far": np.concatenate([np.zeros(2_000), np.full(2_000, 1e9)]),
+        "infinite": np.array([-np.inf, 1.0, 2.0, np.inf, 5.0]),
+        "nothing": np.full(3, np.nan),
+    }
+    pdf = pd.concat([pd.DataFrame({"g": g, "x": v}) for g, v in groups.items()], ignore_index=True)
+    df = spark.createDataFrame(pdf).union(spark.createDataFrame([(None, 4.0)], "g string, x double"))
+    got = {r.g: (r.median, r.mad) for r in quantile.median_and_mad(df, "x", "g").collect()}
+    want = {g: (np.median(v), np.median(np.abs(v - np.median(v)))) for g, v in groups.items() if g != "nothing"}
+    assert got == want
+
+
+def exchanges(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    initial = plan.split("== Initial Plan ==")[-1]
+    return sum("Exchange" in line for line in initial.splitlines())
+
+
+def test_medians_take_few_exchanges(spark, monkeypatch):
+    """Ten at most for median and deviation together, and none that grows with the path taken."""
+    df = to_spark(spark, gappy(n=500))
+    plans = []
+    plain = quantile.stage
+    monkeypatch.setattr(quantile, "stage", lambda df: plans.append(exchanges(df)) or plain(df))
+    out = flag_outliers(df)
+    assert sum(plans) <= 10 and exchanges(out) <= 2
+
+
 def fill(values, max_gap, skip=False):
     """Straight-line filling by a plain loop."""
     out = list(values)

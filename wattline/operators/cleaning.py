@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.time import floor_div, step_micros
 from . import blocks
 from .blocks import BLOCK, POS, carry_known, with_positions
-from .quantile import join_facts, median_and_mad, time_bucket
+from .quantile import median_and_mad, time_bucket, with_facts
 
 # Scales a median absolute deviation to a standard deviation (fixed value).
 MAD_TO_SIGMA = 0.6745
@@ -151,7 +151,7 @@ def flag_outliers(df: DataFrame, column: str = "value", z_threshold: float = 5.0
     facts = median_and_mad(df.where(F.col("site_id").isNotNull()), column)
     df = df.drop("is_outlier")
     return (
-        join_facts(df, facts, "site_id", time_bucket(df))
+        with_facts(df, facts, "site_id", time_bucket(df))
         .withColumn("is_outlier", _is_outlier(F.col(column), z_threshold))
         .drop("median", "mad")
     )
