@@ -1383,7 +1383,7 @@ def _(spark, sf):
     return rows.groupBy(is_test.alias("is_test")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.abs("prediction") < 1e300).alias("n_finite"),
-        (~F.bool_or(is_test) & (error < 0.95 * F.var_pop("value"))).alias("nearer_than_mean"),
+        (~F.bool_or(is_test) & (error < 0.99 * F.var_pop("value"))).alias("nearer_than_mean"),
     )
 
 

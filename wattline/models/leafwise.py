@@ -151,19 +151,23 @@ def sampled(key: np.ndarray, seed: int, turn: int, share: float) -> np.ndarray:
     return (z >> np.uint64(11)).astype(float) / float(1 << 53) < share
 
 
-def best_split(n: np.ndarray, total: np.ndarray, unit: float, least_rows: int, reg: float):
-    """(gain, feature place, bin, rows left, total left) of histograms (features, bins)."""
-    n_left, t_left = np.cumsum(n, axis=1), np.cumsum(total, axis=1)
-    n_all, t_all = n_left[0, -1], t_left[0, -1]
+def best_split(n: np.ndarray, total: np.ndarray, begin: np.ndarray, unit: float, least_rows: int, reg: float):
+    """(gain, feature place, bin, rows left, total left) of histograms; each feature's bins from ``begin`` on."""
+    sizes = np.diff([*begin, len(n)])
+    upto_n, upto_t = np.cumsum(n), np.cumsum(total)
+    before = begin - 1
+    n_left = upto_n - np.repeat(np.where(before >= 0, upto_n[before], 0), sizes)
+    t_left = upto_t - np.repeat(np.where(before >= 0, upto_t[before], 0), sizes)
+    n_all, t_all = n_left[sizes[0] - 1], t_left[sizes[0] - 1]
     n_right, t_right = n_all - n_left, t_all - t_left
     ok = (n_left >= max(1, least_rows)) & (n_right >= max(1, least_rows))
     part = lambda t, m: (t * unit) ** 2 / np.maximum(m + reg, 1e-300)
     gain = np.where(ok, part(t_left, n_left) + part(t_right, n_right) - part(t_all, n_all), -np.inf)
     at = int(gain.argmax())
-    f, b = divmod(at, n.shape[1])
-    if not np.isfinite(gain[f, b]):
+    if not np.isfinite(gain[at]):
         return 0.0, -1, 0, 0, 0
-    return float(gain[f, b]), f, b, int(n_left[f, b]), int(t_left[f, b])
+    f = int(np.searchsorted(begin, at, "right")) - 1
+    return float(gain[at]), f, int(at - begin[f]), int(n_left[at]), int(t_left[at])
 
 
 class Trainer:
@@ -214,7 +218,8 @@ class Trainer:
                 total[m] += r["total"]
         self.init = [total[m] * self.unit / n[m] if n[m] else None for m in range(self.n_models)]
         self.edges = edges = self.bin_edges()
-        self.n_bins = max((len(e) for e in edges), default=0) + 2
+        # One bin more than edges, and one for rows without a value.
+        self.n_bins = np.array([len(e) + 2 for e in edges], np.int64)
         init = np.array([0.0 if x is None else x for x in self.init])
         names = [f"f{i}" for i in range(self.features)]
 
@@ -256,14 +261,15 @@ class Trainer:
 
         return chunks_of
 
-    def histograms(self, growing: dict[int, tuple[Tree, dict[int, tuple[int, int, int]]]], turn: int, chosen: list[int]) -> DataFrame:
+    def histograms(self, growing: dict[int, tuple[Tree, dict[int, tuple[int, int]]]], turn: int, chosen: list[int]) -> DataFrame:
         """(model, parent, node, other, sums) of each task, for nodes that ``growing`` lists per model."""
-        chunks_of, n_bins, unit, model = self.batches(), self.n_bins, self.unit, self.model
+        chunks_of, unit, model = self.batches(), self.unit, self.model
         share, again = model.subsample, model.subsample_freq
-        columns = np.array(chosen)
+        begin, size = self.layout(chosen)
+        bins_of = self.n_bins[chosen].tolist()
 
         def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = {m: np.zeros((2, len(wanted), len(columns), n_bins), np.int64) for m, (_, wanted) in growing.items()}
+            sums = {m: np.zeros((2, len(wanted), size), np.int64) for m, (_, wanted) in growing.items()}
             slots = {}
             for m, (tree, wanted) in growing.items():
                 slots[m] = np.full(len(tree.feature), -1)
@@ -285,29 +291,36 @@ class Trainer:
                     any_rows = True
                     slot, own = slot[ok], bins[ok]
                     gradient = np.rint((y[ok] - so_far[ok, k]) / unit)
-                    size = len(wanted) * n_bins
-                    for j, f in enumerate(columns):
-                        cell = slot * n_bins + own[:, f]
-                        sums[m][0, :, j] += np.bincount(cell, minlength=size).reshape(-1, n_bins)
-                        total = np.bincount(cell, gradient, minlength=size)
-                        sums[m][1, :, j] += total.astype(np.int64).reshape(-1, n_bins)
+                    for f, at, wide in zip(chosen, begin.tolist(), bins_of):
+                        cell = slot * wide + own[:, f]
+                        cells = len(wanted) * wide
+                        sums[m][0, :, at : at + wide] += np.bincount(cell, minlength=cells).reshape(-1, wide)
+                        total = np.bincount(cell, gradient, minlength=cells)
+                        sums[m][1, :, at : at + wide] += total.astype(np.int64).reshape(-1, wide)
             if any_rows:
                 for m, (_, wanted) in growing.items():
-                    rows = [(m, p, node, other, sums[m][:, i].tobytes()) for i, (node, (p, other, _)) in enumerate(wanted.items())]
+                    rows = [(m, p, node, other, sums[m][:, i].tobytes()) for i, (node, (p, other)) in enumerate(wanted.items())]
                     yield pd.DataFrame(rows, columns=["model", "parent", "node", "other", "sums"])
 
         return self.data.mapInPandas(count, "model int, parent int, node int, other int, sums binary")
 
+    def layout(self, chosen: list[int]) -> tuple[np.ndarray, int]:
+        """Where each feature's bins begin in a histogram, and its length."""
+        sizes = self.n_bins[chosen]
+        return np.cumsum(sizes) - sizes, int(sizes.sum())
+
     def splits(self, parts: DataFrame, parents: DataFrame | None, chosen: list[int]) -> DataFrame:
         """Histograms of nodes and their siblings, each with its best split."""
         unit, least, reg = self.unit, self.model.min_child_samples, self.model.reg_lambda
-        shape = (2, len(chosen), self.n_bins)
+        begin, size = self.layout(chosen)
+        first = int(self.n_bins[chosen[0]])
+        shape = (2, size)
         columns = [c.split()[0] for c in _SPLITS.split(", ")] + ["sums"]
 
         def record(m, node, parent, sums):
-            gain, f, b, n_left, t_left = best_split(sums[0], sums[1], unit, least, reg)
+            gain, f, b, n_left, t_left = best_split(sums[0], sums[1], begin, unit, least, reg)
             feature = chosen[f] if f >= 0 else -1
-            return m, node, parent, sums[0, 0].sum(), sums[1, 0].sum(), gain, feature, b, n_left, t_left, sums.tobytes()
+            return m, node, parent, sums[0, :first].sum(), sums[1, :first].sum(), gain, feature, b, n_left, t_left, sums.tobytes()
 
         def added(frame):
             return sum(np.frombuffer(s, np.int64).reshape(shape) for s in frame["sums"])
@@ -337,18 +350,15 @@ class Trainer:
             some = max(1, round(model.colsample_bytree * self.features))
             chosen = sorted(random.Random(f"{model.random_state}/{turn}").sample(chosen, some))
         grown = {m: Growth() for m in range(self.n_models) if self.init[m] is not None}
-        path = len(self.paths)
-        ask = {m: (Tree(), {0: (-1, -1, 0)}) for m in grown}
-        tables: list[DataFrame] = []
+        ask = {m: (Tree(), {0: (-1, -1)}) for m in grown}
+        path, tables = len(self.paths), []
         while ask:
             parents = None
             if tables:
-                pairs = [(m, p) for m, (_, wanted) in ask.items() for p, _, _ in wanted.values()]
-                keys = self.spark.createDataFrame(pairs, "model int, node int")
-                parents = tables[0]
-                for t in tables[1:]:
-                    parents = parents.unionByName(t)
-                parents = parents.select("model", "node", "sums").join(F.broadcast(keys), ["model", "node"])
+                pairs = [m << 32 | p for m, (_, wanted) in ask.items() for p, _ in wanted.values()]
+                # One scan over the passes' tables, however many there are.
+                stored = self.spark.read.schema(tables[0].schema).parquet(*self.paths[path:])
+                parents = stored.where((F.col("model").cast("long") * (1 << 32) + F.col("node")).isin(pairs))
             tables.append(self.kept(self.splits(self.histograms(ask, turn, chosen), parents, chosen)))
             for r in tables[-1].drop("sums").collect():
                 grown[r["model"]].known[r["node"]] = r
@@ -362,7 +372,7 @@ class Trainer:
                     best = g.known[node]
                     left, right = g.open(node)
                     small, other = (left, right) if 2 * best.n_left <= best.n else (right, left)
-                    wanted[small] = (node, other, 0)
+                    wanted[small] = (node, other)
                 if wanted:
                     ask[m] = (g.tree(None, None), wanted)
         for old in self.paths[path:]:
