@@ -14,8 +14,9 @@ import types
 
 import numpy as np
 
-# Pieces, and words that need the whole tokenizer, a worker remembers; then it starts anew.
-REMEMBERED = 800_000
+# Bytes that a worker's remembered pieces, and words that need the whole tokenizer, may take, with
+# ``ENTRY`` bytes for each besides its text and ids; then it starts anew.  Long ones are not remembered.
+REMEMBERED, ENTRY, LONG = 24_000_000, 200, 64
 
 # The split pattern of the vocabulary, for lower-case plain Latin text.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -57,27 +58,37 @@ class Encoder:
         )
         self.parts: dict[str, bytes] = {}
         self.others: dict[str, bytes] = {}
+        self.parts_size = self.others_size = 0
 
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, parts: set[str]) -> None:
-        """Remember pieces that are as the split pattern leaves them."""
-        if len(self.parts) + len(parts) > REMEMBERED:
-            self.parts = {}
+        """Remember pieces that are as the split pattern leaves them.
+
+        Pieces of the texts at hand are there until the next call, whatever their size.
+        """
+        if self.parts_size > REMEMBERED:
+            self.parts, self.parts_size = {}, 0
         new = list(parts.difference(self.parts))
         if new:
             found = self.split.encode(" ".join(new), add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             at = (np.searchsorted(np.array(found.word_ids), np.arange(len(new) + 1)) * 4).tolist()
             self.parts.update(zip(new, [raw[i:j] for i, j in zip(at, at[1:])]))
+            self.parts_size += len(raw) + sum(map(len, new)) + ENTRY * len(new)
 
     def word(self, word: str) -> bytes:
-        if word not in self.others:
-            if len(self.others) > REMEMBERED:
-                self.others = {}
-            self.others[word] = self.whole(word)
-        return self.others[word]
+        found = self.others.get(word)
+        if found is None:
+            found = self.whole(word)
+            if len(word) > LONG:
+                return found
+            if self.others_size > REMEMBERED:
+                self.others, self.others_size = {}, 0
+            self.others[word] = found
+            self.others_size += len(found) + len(word) + ENTRY
+        return found
 
     def mixed(self, text: str) -> bytes:
         """A text that is not plain, word by word."""
