@@ -46,6 +46,7 @@ from ..sources.readers import (
     read_weather,
 )
 from ..sources.sinks import shared_dir, stage, write_metrics_csv, write_panel
+from ..sources.storage import merge_export, read_bucketed, read_readings, write_bucketed, write_readings
 from . import tables as t
 from .rounding import Nudged, shown, sql_round
 
@@ -314,20 +315,51 @@ def _(spark, sf):
     return shown(join_sites(readings(spark, sf, "orders"), t.sites_orders(spark, sf)))
 
 
-@register(
-    "join_weather",
+_WEATHER_JOIN_SQL = (
     t.panel_sql("events")
     + ","
     + t.WEATHER_SQL
     + """
 SELECT g.site_id, g.timestamp, value, unit, temperature_c, humidity_pct, wind_speed_ms,
   solar_irradiance_wm2
-FROM gridded g LEFT JOIN weather w ON g.site_id = w.site_id AND g.timestamp = w.timestamp""",
+FROM gridded g LEFT JOIN weather w ON g.site_id = w.site_id AND g.timestamp = w.timestamp"""
 )
+
+
+@register("join_weather", _WEATHER_JOIN_SQL)
 def _(spark, sf):
     return shown(join_weather(gridded(spark, sf), t.weather_events(spark, sf)))
 
 
+@register("join_weather_bucketed", _WEATHER_JOIN_SQL)
+def _(spark, sf):
+    """Both tables are stored by the same buckets first; the join then moves no row."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = []
+    for df in (gridded(spark, sf), t.weather_events(spark, sf)):
+        stored.append(read_bucketed(spark, write_bucketed(df, shared_dir(spark), buckets), buckets))
+    return shown(join_weather(*stored))
+
+
+@register(
+    "late_export_merged",
+    """
+WITH exports AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS site_id, l_shipdate AS timestamp, l_quantity AS value, l_linenumber > 4 AS later,
+    ROW(l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity) AS o
+  FROM lineitem WHERE l_linenumber <= 4 OR l_shipdate >= TIMESTAMP '1998-01-01')
+SELECT site_id, timestamp, value FROM exports
+QUALIFY row_number() OVER (PARTITION BY site_id, timestamp ORDER BY later DESC, o DESC) = 1""",
+)
+def _(spark, sf):
+    """Stored readings after a later export of the last months; only its partitions are rewritten."""
+    meter = t.meter_lines(spark, sf).drop("unit")
+    number = F.col("ingest_order.l_linenumber")
+    path = write_readings(meter.where(number <= 4), shared_dir(spark), buckets=2)
+    merge_export(spark, path, meter.where((number > 4) & (F.col("timestamp") >= utc_instant("1998-01-01"))), buckets=2)
+    return shown(read_readings(spark, path).select("site_id", "timestamp", "value"))
+
+
 # ---------------------------------------------------------------- calendar and weather
 
 _LOCAL = "timezone('Europe/London', timezone('UTC', timestamp))"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import add_calendar_features
 from ..functions.time import LOCAL_ZONE
+from ..sources.sinks import stage
 
 
 def load_profile(
@@ -42,10 +43,12 @@ def residual_histogram(
 
     Every bin is half open but the last, which includes the maximum.  If all residuals
     are equal the range is widened by one half on either side.
+
+    Predictions are computed once, when called: their residuals are stored as one narrow
+    column, which the range and the counts are read from.
     """
-    rows = predictions.select((F.col(y_pred) - F.col(y_true)).alias("r")).where(
-        F.col("r").isNotNull()
-    )
+    residual = (F.col(y_pred) - F.col(y_true)).alias("r")
+    rows = stage(predictions.select(residual).where(F.col("r").isNotNull()))
     edges = rows.agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
     half = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
     limits = edges.select(F.struct((F.col("lo") - half).alias("lo"), (F.col("hi") + half).alias("hi")))
