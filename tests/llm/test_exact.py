@@ -74,3 +74,13 @@ def test_digests_that_share_words_get_their_own_slots():
 
 def test_rows_of_the_fixture_are_odd():
     assert len(ODD_ROWS) > len({r[:2] for r in ODD_ROWS})
+
+
+def test_many_new_texts_without_a_history_are_dealt(spark, monkeypatch):
+    """Buckets follow the larger side: no task looks up all new texts."""
+    seen = []
+    plain = exact.buckets_for
+    monkeypatch.setattr(exact, "buckets_for", lambda rows, per: seen.append(plain(rows, per)) or seen[-1])
+    docs = spark.range(3_000).selectExpr("id as doc_id", "concat('text ', id % 2000) as text")
+    got = exact.exact_dedup(docs, historical=F.lit(False), per_bucket=100)
+    assert got.where("kept").count() == 2_000 and seen[0] == 20

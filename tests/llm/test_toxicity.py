@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -95,3 +97,18 @@ def test_calibration_rises(spark):
     grid = spark.range(-50, 250).selectExpr("id / 10.0 as raw").selectExpr("cast(raw as double) raw")
     got = [r.s for r in grid.select(toxicity.calibrated(grid["raw"], steps).alias("s")).collect()]
     assert got == sorted(got) and 0 <= got[0] < 0.05 and 0.95 < got[-1] <= 1
+
+
+@pytest.mark.parametrize("toxic, clean, want", [(0, 0, 0.0), (3, 0, 1.0), (0, 3, 0.0), (1, 4, 0.2), (2, 2, None), (2, 6, None), (9, 3, None)])
+def test_few_labels(spark, toxic, clean, want):
+    """Every document gets a score, however few labels there are and wherever they lie."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][: toxic + clean]
+    bad = set(ids[:toxic])
+    rows = [(i, "you stupid idiot, go away" if i in bad else f"a calm text about boats {i}", "en", "a", 1) for i in ids]
+    docs = frame(spark, [*rows, (1_000, None, None, None, 0), (1_001, "", "en", "a", 0)])
+    labels = spark.createDataFrame([(i, 1, int(i in bad)) for i in ids], "doc_id long, quality int, toxic int")
+    got = toxicity.classify(docs, labels).collect()
+    assert len(got) == len(rows) + 2
+    assert all(r.score is not None and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    if want is not None:
+        assert {r.score for r in got} == {want}

@@ -164,13 +164,14 @@ def exact_groups(rows: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Groups of equal digests of ``rows`` (digest, id, n, historical).
 
     Each digest comes once, with ``keep_id``, ``group_size`` and whether the history has
-    it.  The history is indexed; the others are looked up.
+    it.  The history is indexed; the others are looked up.  There are as many buckets as the larger
+    side needs, so that neither a large history nor many new texts fill one task.
     """
     history = stage(entries_of(rows.filter("historical")))
-    buckets = buckets_for(history.count(), per_bucket)
+    new = stage(entries_of(rows.filter("not historical")))
+    buckets = buckets_for(max(history.count(), new.count()), per_bucket)
     index = stage(build_index(history, buckets))
-    new = entries_of(rows.filter("not historical")).withColumn("bucket", bucket_of(buckets))
-    return new.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_lookup_bucket, GROUPS)
+    return new.withColumn("bucket", bucket_of(buckets)).groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(_lookup_bucket, GROUPS)
 
 
 def digest_rows(docs: DataFrame, id_: str, text: str, historical: Column) -> DataFrame:

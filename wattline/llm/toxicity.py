@@ -25,7 +25,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.llm.common import chunks, held_out, pieces
@@ -260,23 +260,40 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+    """Lexicon, trees and calibration from a bounded sample of labelled documents.
+
+    The labelled documents are halved, each label by itself.  Trees of either half score the other one,
+    and the calibration is learned from these scores of documents that their trees have not seen; then
+    trees are grown on all.  With fewer than two documents of a label the score is the
+    share of toxic ones, 0 without any label.
+    """
     sample = training_sample(docs.select("doc_id", "text"), labels, "toxic", rows)
-    sample = stage(sample.withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS)).cast("int")))
+    halves = Window.partitionBy("label").orderBy(F.xxhash64("id", F.lit(5)), "id")
+    sample = stage(
+        sample.withColumns(
+            {
+                "part": F.pmod(F.xxhash64("id", F.lit(3)), F.lit(FOLDS)).cast("int"),
+                "half": (F.row_number().over(halves) % 2).cast("int"),
+            }
+        )
+    )
     seen = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(seen) < 2:
-        return Model(None, None, None, float(seen.get(1, 0) > 0))
+    if min(seen.get(0, 0), seen.get(1, 0)) < 2:
+        return Model(None, None, None, seen.get(1, 0) / max(1, sum(seen.values())))
     lexicon = learn_lexicon(sample)
-    known = stage(with_features(sample, lexicon, F.col("part")).select("id", "label", "part", "features"))
-    ready = vectors(known).select(F.col("label").cast("double").alias("label"), "dense", "part")
+    known = stage(with_features(sample, lexicon, F.col("part")).select("id", "label", "half", "features"))
+    ready = vectors(known).select(F.col("label").cast("double").alias("label"), "dense", "half")
     grower = GBTClassifier(
         featuresCol="dense", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, maxBins=32, seed=1, minInstancesPerNode=4
     )
-    # Calibration needs scores of documents the trees have not seen; then all are used.
-    early = grower.fit(ready.filter("part != 0"))
-    scored = margin(known.filter("part = 0"), early).select("raw", F.col("label").cast("double").alias("label"))
-    trees = grower.fit(ready)
-    steps = calibration(scored)
-    return Model(lexicon, trees, steps, None)
+    scored = [
+        margin(known.filter(F.col("half") == half), grower.fit(ready.filter(F.col("half") != half))).select(
+            "raw", F.col("label").cast("double").alias("label")
+        )
+        for half in (0, 1)
+    ]
+    steps = calibration(scored[0].unionByName(scored[1]))
+    return Model(lexicon, grower.fit(ready), steps, None)
 
 
 def calibration(scored: DataFrame) -> tuple[list[float], list[float]]:
@@ -311,9 +328,9 @@ def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
     """One row per document: doc_id, held_out, score, predicted.
 
     Null texts are empty, and empty ones have the score of a text without words.  Repeated
-    rows are scored each.  Without labels of both kinds the score is 1 if there are only
-    toxic ones, else 0.  An empty table gives no rows; columns other than doc_id and text
-    are not read.
+    rows are scored each.  With fewer than two labelled documents of a kind every score is the share of toxic
+    ones among them, so 1 or 0 with one kind only, and 0 without labels.  An empty table gives no rows;
+    columns other than doc_id and text are not read.
     """
     model = train(docs, labels, rows)
     return score(docs, model).select(
