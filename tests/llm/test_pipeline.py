@@ -65,3 +65,21 @@ def test_stages_against_plain_code(spark, tmp_path):
     assert len(fill) <= 1.1 * sum(fill.values()) / 2048 + 1
 
 
+
+
+def test_stages_on_odd_rows(spark, odd, none):
+    """What the stages' docstrings say of nulls, empty texts, repeated rows and missing ids."""
+    sf_dir = "/root/testdata/sf0.001"
+    kept = {}
+    for name, function in corpus_pipeline.STAGES:
+        assert function(spark, none, sf_dir).count() == 0
+        kept[name] = function(spark, odd, sf_dir).collect()
+    ids = {name: Counter(r.doc_id for r in found) for name, found in kept.items()}
+    exact = ids["exact_dedup"]
+    assert exact[3] + exact[4] == 1 and exact[1] == 1 and not exact[2] and not exact[10] and exact[None] == 1
+    near = ids["near_dedup"]
+    assert near[3] == near[4] == near[5] == 1 and near[1] == 1 and not near[2] and near[None] == 1
+    mixed = ids["mix_sources"]
+    assert mixed[3] == mixed[4] == mixed[5] == 1 and mixed[None] >= 1
+    packed = {r.doc_id: r for r in kept["best_fit_packing"]}
+    assert packed[3].length == packed[4].length == 1 and ids["best_fit_packing"][2] == 2

@@ -39,7 +39,7 @@ K = 64
 SIGMAS = 4.25
 LIST = 64
 # Characters that a worker holds as arrays at once; a longer text is held alone.
-CHARS = 1_000_000
+CHARS = 300_000
 # Bound of the bitmaps that tell which texts to read once more: 16 MB.
 MAX_BITS = 1 << 27
 # Bits of each value that travel when whole sets are compared.

@@ -28,7 +28,7 @@ from wattline.llm.textstats import DIGIT, LETTER, MARK, SIGN, SPACE, UPPER, Text
 from wattline.sources.sinks import stage
 
 TRAIN_ROWS, CHAIN, ROUNDS = 6_000, 32, 150
-CHARS = 1_000_000
+CHARS = 300_000
 THRESHOLD = 0.3
 PENALTY = 1e-3
 

@@ -15,8 +15,34 @@ import types
 import numpy as np
 
 # Bytes that a worker's remembered pieces, and words that need the whole tokenizer, may take, with
-# ``ENTRY`` bytes for each besides its text and ids; then it starts anew.  Long ones are not remembered.
-REMEMBERED, ENTRY, LONG = 24_000_000, 200, 64
+# ``ENTRY`` bytes for each besides its text and ids.  Long ones are not remembered.
+REMEMBERED, ENTRY, LONG = 16_000_000, 200, 64
+
+
+class Memory:
+    """Ids by text in two generations: what is used stays, what is not goes with the older one."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def turn(self) -> None:
+        """Forget the older generation once the younger one has its half of the bytes."""
+        if 2 * self.size > REMEMBERED:
+            self.young, self.old, self.size = {}, self.young, 0
+
+    def put(self, text: str, ids: bytes) -> None:
+        self.young[text] = ids
+        self.size += len(text) + len(ids) + ENTRY
+
+    def get(self, text: str) -> bytes | None:
+        found = self.young.get(text)
+        if found is None:
+            found = self.old.get(text)
+            if found is not None:
+                self.put(text, found)
+        return found
 
 # The split pattern of the vocabulary, for lower-case plain Latin text.
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
@@ -56,38 +82,30 @@ class Encoder:
                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
             ]
         )
-        self.parts: dict[str, bytes] = {}
-        self.others: dict[str, bytes] = {}
-        self.parts_size = self.others_size = 0
+        self.parts, self.others = Memory(), Memory()
 
     def whole(self, text: str) -> bytes:
         return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, parts: set[str]) -> None:
-        """Remember pieces that are as the split pattern leaves them.
-
-        Pieces of the texts at hand are there until the next call, whatever their size.
-        """
-        if self.parts_size > REMEMBERED:
-            self.parts, self.parts_size = {}, 0
-        new = list(parts.difference(self.parts))
+    def learn(self, parts: set[str]) -> dict[str, bytes]:
+        """Ids of pieces that are as the split pattern leaves them."""
+        self.parts.turn()
+        new = [p for p in parts.difference(self.parts.young) if self.parts.get(p) is None]
         if new:
             found = self.split.encode(" ".join(new), add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             at = (np.searchsorted(np.array(found.word_ids), np.arange(len(new) + 1)) * 4).tolist()
-            self.parts.update(zip(new, [raw[i:j] for i, j in zip(at, at[1:])]))
-            self.parts_size += len(raw) + sum(map(len, new)) + ENTRY * len(new)
+            for piece, i, j in zip(new, at, at[1:]):
+                self.parts.put(piece, raw[i:j])
+        return self.parts.young
 
     def word(self, word: str) -> bytes:
         found = self.others.get(word)
         if found is None:
             found = self.whole(word)
-            if len(word) > LONG:
-                return found
-            if self.others_size > REMEMBERED:
-                self.others, self.others_size = {}, 0
-            self.others[word] = found
-            self.others_size += len(found) + len(word) + ENTRY
+            if len(word) <= LONG:
+                self.others.turn()
+                self.others.put(word, found)
         return found
 
     def mixed(self, text: str) -> bytes:
@@ -98,8 +116,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [PARTS.findall(t.lower()) if PLAIN.fullmatch(t) and SPECIAL not in t else None for t in texts]
-        self.learn({p for parts in cut if parts for p in parts})
-        of = self.parts.__getitem__
+        of = self.learn({p for parts in cut if parts for p in parts}).__getitem__
         return [self.mixed(t) if parts is None else b"".join(map(of, parts)) for t, parts in zip(texts, cut)]
 
 
