@@ -33,7 +33,7 @@ SEQUENCES = 1024
 FILL, ROUNDS = 0.97, 2
 WEIGHTS = (1.0, 0.01, 0.01)
 TOKENIZER = "word_bpe_49k.json"
-CHARS = 500_000
+CHARS = 2_000_000
 
 
 def cut(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:

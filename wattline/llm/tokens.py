@@ -16,7 +16,7 @@ import numpy as np
 
 # Bytes that a worker's remembered pieces, and words that need the whole tokenizer, may take, with
 # ``ENTRY`` bytes for each besides its text and ids.  Long ones are not remembered.
-REMEMBERED, ENTRY, LONG = 16_000_000, 200, 64
+REMEMBERED, ENTRY, LONG = 48_000_000, 200, 64
 
 
 class Memory:
@@ -36,6 +36,11 @@ class Memory:
         self.young[text] = ids
         self.size += len(text) + len(ids) + ENTRY
 
+    def put_all(self, texts, ids) -> None:
+        """Many at once, of which each counts as a short one."""
+        self.young.update(zip(texts, ids))
+        self.size += (ENTRY + 20) * len(texts)
+
     def get(self, text: str) -> bytes | None:
         found = self.young.get(text)
         if found is None:
@@ -90,13 +95,15 @@ class Encoder:
     def learn(self, parts: set[str]) -> dict[str, bytes]:
         """Ids of pieces that are as the split pattern leaves them."""
         self.parts.turn()
-        new = [p for p in parts.difference(self.parts.young) if self.parts.get(p) is None]
+        missing = parts.difference(self.parts.young)
+        known = missing.intersection(self.parts.old)
+        self.parts.put_all(known, map(self.parts.old.__getitem__, known))
+        new = list(missing.difference(known))
         if new:
             found = self.split.encode(" ".join(new), add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             at = (np.searchsorted(np.array(found.word_ids), np.arange(len(new) + 1)) * 4).tolist()
-            for piece, i, j in zip(new, at, at[1:]):
-                self.parts.put(piece, raw[i:j])
+            self.parts.put_all(new, [raw[i:j] for i, j in zip(at, at[1:])])
         return self.parts.young
 
     def word(self, word: str) -> bytes:
