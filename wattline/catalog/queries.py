@@ -1401,12 +1401,11 @@ def tree_frame(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "gbt_fit",
     _TREE_FRAME_SQL
-    + f"""SELECT timestamp >= {SPLIT_SQL} AS is_test, count(*) AS n_rows, count(*) AS n_finite,
-  timestamp < {SPLIT_SQL} AS nearer_than_mean
-FROM feats WHERE {_TREE_COMPLETE} GROUP BY ALL""",
+    + f"""SELECT is_test, count(*) AS n_rows, count(*) AS n_finite, NOT is_test AND count(*) >= 500 AS nearer_than_mean
+FROM (SELECT timestamp >= {SPLIT_SQL} AS is_test FROM feats WHERE {_TREE_COMPLETE}) GROUP BY is_test""",
 )
 def _(spark, sf):
-    """Rows with a finite forecast; over the training rows it has to be nearer than their mean."""
+    """Rows with a finite forecast; over 500 training rows or more it has to be nearer than their mean."""
     frame = tree_frame(spark, sf)
     fitted = fit_until(frame, FIFTEEN, CUTOFF, **TREES)
     rows = predict(fitted, complete_cases(frame, [*FIFTEEN, "value"]))
@@ -1415,7 +1414,7 @@ def _(spark, sf):
     return rows.groupBy(is_test.alias("is_test")).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(F.abs("prediction") < 1e300).alias("n_finite"),
-        (~F.bool_or(is_test) & (error < 0.99 * F.var_pop("value"))).alias("nearer_than_mean"),
+        (~F.bool_or(is_test) & (F.count(F.lit(1)) >= 500) & (error < 0.99 * F.var_pop("value"))).alias("nearer_than_mean"),
     )
 
 
