@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from wattline.llm.common import chunks
 from wattline.llm.components import components
 from wattline.llm.hashing import byte_values, run_hashes, word_hashes
+from wattline.llm.tokens import forget
 from wattline.sources.sinks import remove, shared_dir, stage
 
 K = 64
@@ -76,6 +77,7 @@ def _each(width: int):
     """Batches of (id, text) to lists of ids and sets."""
 
     def sets(batches: Iterator[pd.DataFrame]):
+        forget()
         for pdf in batches:
             ids, texts = pdf["id"].tolist(), pdf["text"].tolist()
             for part in chunks(texts, CHARS):
@@ -152,6 +154,7 @@ def narrowed(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
     size, mine = bits_of(wanted, *keys)
 
     def run(batches):
+        forget()
         for pdf in batches:
             yield pdf[has(mine, pdf["at"].to_numpy())].drop(columns="at")
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from wattline.llm.common import chunks, held_out
 from wattline.llm.hashing import mix
 from wattline.llm.textstats import DIGIT, LETTER, MARK, SIGN, SPACE, UPPER, Texts, span_hashes, sums
+from wattline.llm.tokens import forget
 from wattline.sources.sinks import stage
 
 TRAIN_ROWS, CHAIN, ROUNDS = 6_000, 32, 150
@@ -245,6 +246,7 @@ def score(docs: DataFrame, model, text: str = "text", name: str = "score") -> Da
 
     @F.pandas_udf("double")
     def quality(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         for texts in batches:
             texts = texts.fillna("").tolist()
             out = [document_scores([texts[i] for i in part], model) for part in chunks(texts, CHARS)]

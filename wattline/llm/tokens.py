@@ -134,3 +134,8 @@ def encoder(name: str) -> Encoder:
     if key not in vars(kept):
         vars(kept)[key] = Encoder(name)
     return vars(kept)[key]
+
+
+def forget() -> None:
+    """Let go of this worker's encoders; other operators' tasks call it, as they may need the memory."""
+    sys.modules.pop("_wattline_worker", None)
