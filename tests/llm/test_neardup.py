@@ -155,3 +155,24 @@ def test_packed_values_come_back():
     assert neardup.unpacked(neardup.packed(values)).tolist() == values.tolist()
     assert neardup.unpacked(neardup.packed(-values - 1)).tolist() == sorted(2**40 - 1 - values)
     assert len(neardup.unpacked(b"")) == 0
+
+
+def test_pairs_at_the_similarity_share_a_band():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(400):
+        whole = np.unique(rng.integers(-(2**63), 2**63 - 1, 100))
+        sets += [whole, np.sort(rng.permutation(whole)[:80])]
+    found = neardup.bands(sets, neardup.bands_for(80))
+    again = found[0::2] == found[1::2]
+    assert again.any(axis=1).all() and abs(again.mean() - 0.8**neardup.ROWS) < 0.02
+    assert not neardup.bands([sets[0][:0]], 3).any()
+
+
+def test_a_run_that_many_texts_hold_makes_no_long_list(spark):
+    """Every text has some rare runs in common with 60 others, and nothing else."""
+    rng = random.Random(11)
+    rows = [(i, " ".join([f"g{i // 60}"] * 3 + [f"r{rng.randrange(10**9)}" for _ in range(60)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    found = neardup.sketches(df, 2, neardup.K, 80)
+    assert neardup.listed(found).count() < len(rows)

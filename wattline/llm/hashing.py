@@ -15,6 +15,11 @@ def _mixed(i: int) -> int:
     return z ^ (z >> 31)
 
 
+def seeds(count: int) -> np.ndarray:
+    """Fixed 64-bit numbers to tell hash functions apart."""
+    return np.array([_mixed(1000 + i) for i in range(count)], np.uint64)
+
+
 def byte_values(lower: bool) -> np.ndarray:
     """A number per byte; 0 for white space (space and bytes 9 to 13).
 

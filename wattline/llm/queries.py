@@ -94,6 +94,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Texts may be long, and a worker holds a few copies of those it receives at once.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1_000)
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
