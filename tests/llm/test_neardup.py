@@ -176,3 +176,33 @@ def test_a_run_that_many_texts_hold_makes_no_long_list(spark):
     df = spark.createDataFrame(rows, "id long, text string")
     found = neardup.sketches(df, 2, neardup.K, 80)
     assert neardup.listed(found).count() < len(rows)
+
+
+def test_sets_outside_are_listed_under_their_first_values(spark):
+    """Crowds that share most values with a hub, as in lists of a common passage, and near copies among them."""
+    rng = np.random.default_rng(13)
+    passage, sets, component = rng.integers(0, 2**40, 60), [], []
+    for group in range(150):
+        own = rng.integers(0, 2**40, 40)
+        for _ in range(2):
+            few = rng.permutation(40)[: rng.integers(28, 41)]
+            sets.append(np.unique(np.concatenate((passage if group % 3 else passage[:20], own[few]))))
+            component.append(len(sets))
+    for _ in range(200):
+        sets.append(np.unique(np.concatenate((passage, rng.integers(0, 2**40, 5)))))
+        component.append(0)
+    rows = [(i, neardup.packed(x)) for i, x in enumerate(sets)]
+    sets_df = spark.createDataFrame(rows, "id long, values binary")
+    members = spark.createDataFrame([(i, c, c > 0) for i, c in enumerate(component)], "id long, component long, outside boolean")
+    pairs = neardup.rare_first(members, sets_df, 80)
+    links = {(r.a, r.b) for r in neardup.judged_sets(pairs, sets_df, 80).collect()}
+    want = set()
+    for i, x in enumerate(sets):
+        for j in range(i):
+            shared = len(np.intersect1d(x, sets[j]))
+            if component[i] != component[j] and 100 * shared >= 80 * (len(x) + len(sets[j]) - shared):
+                want.add((j, i))
+    assert links == want and 100 < len(want)
+    # The passage comes last, so the crowd's pairs are few, and a set makes a fifth of its size in rows.
+    front = neardup.fronts(sets_df.join(members, "id"), 80, neardup.frequent(sets_df))
+    assert pairs.count() < 1000 and front.count() <= sum(len(x) // 5 + 1 for x in sets)
