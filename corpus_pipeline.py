@@ -77,7 +77,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     A null or empty text is one piece that holds the end token; repeated rows are packed each;
     an empty table has no pieces.
     """
-    return packing.pack(docs)
+    # An executor's workers take turns, and earlier stages needed more of them than cores.
+    return packing.pack(docs, keep=False)
 
 
 STAGES = [

@@ -1,6 +1,8 @@
+import sys
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests_llm_shared import texts_of
@@ -89,3 +91,22 @@ def test_best_fit_takes_the_fullest_sequence_that_fits():
 def test_a_piece_beyond_the_capacities_is_an_error():
     with pytest.raises(ValueError):
         packing.best_fit(np.array([10]), 100, 10, 50, (1, 1, 1), "norm")
+
+
+class Captured:
+    """Stands for a table; hands out the function that tasks would run."""
+
+    def mapInPandas(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_waiting_workers_hold_no_encoder(monkeypatch, tokenizer):
+    calls = []
+    monkeypatch.setattr("wattline.llm.common.give_back", lambda: calls.append(1))
+    rows = pd.DataFrame({"doc_id": [1, 2], "text": ["a b", ""]})
+    found = {}
+    for keep in (True, False):
+        task = packing.cut(Captured(), packing.TOKENIZER, 64, keep)
+        found[keep] = pd.concat(task(iter([rows])))
+        assert ("_wattline_worker" in sys.modules) == keep
+    assert found[True].equals(found[False]) and len(calls) == 2

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,29 @@ def buckets_for(rows: int, rows_per_bucket: int) -> int:
     return max(1, -(-rows // rows_per_bucket))
 
 
+def give_back() -> None:
+    """Return to the system what this process's allocators keep of freed memory."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
+def lean(run):
+    """``run`` for ``mapInPandas``; a worker that waits for its next task keeps no freed memory.
+
+    An executor keeps as many workers as it ever needed at once and uses them in turn.
+    """
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def chunks(texts, size: int):
     """Consecutive lists of indices whose texts have about ``size`` characters together."""
     part, total = [], 0

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import chunks
+from wattline.llm.common import chunks, lean
 from wattline.llm.components import components
 from wattline.llm.hashing import byte_values, mix, run_hashes, seeds, word_hashes
 from wattline.llm.tokens import forget
@@ -136,7 +136,7 @@ def sketches(docs: DataFrame, width: int, k: int, percent: int) -> DataFrame:
             )
 
     count = bands_for(percent)
-    return docs.mapInPandas(run, "id long, n long, digest binary, sketch array<long>, bands array<long>")
+    return docs.mapInPandas(lean(run), "id long, n long, digest binary, sketch array<long>, bands array<long>")
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -193,7 +193,7 @@ def narrowed(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
         for pdf in batches:
             yield pdf[has(mine, pdf["at"].to_numpy())].drop(columns="at")
 
-    return df.withColumn("at", slot(size, *keys)).mapInPandas(run, df.schema)
+    return df.withColumn("at", slot(size, *keys)).mapInPandas(lean(run), df.schema)
 
 
 def full_sets(docs: DataFrame, width: int, wanted: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def full_sets(docs: DataFrame, width: int, wanted: DataFrame, hubs: DataFrame) -
                 yield pd.DataFrame({"id": ids, "values": [packed(s) for s in found], "hub": [hub_of[i] for i in ids]})
 
     rows = docs.select("id", "text", slot(size, "id").alias("at"), slot(hub_size, "id").alias("hub_at"))
-    return rows.mapInPandas(run, "id long, values binary, hub boolean")
+    return rows.mapInPandas(lean(run), "id long, values binary, hub boolean")
 
 
 def listed(classes: DataFrame) -> DataFrame:
@@ -261,9 +261,9 @@ def alike(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFr
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    small = stage(narrowed(sketches.select("id", "sketch"), ends, "id").mapInPandas(pack, "id long, small binary"))
+    small = stage(narrowed(sketches.select("id", "sketch"), ends, "id").mapInPandas(lean(pack), "id long, small binary"))
     end = lambda x: small.select(F.col("id").alias(x), F.col("small").alias(f"small_{x}"))
-    return pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").mapInPandas(run, "a long, b long")
+    return pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").mapInPandas(lean(run), "a long, b long")
 
 
 def _judge_stars(percent: int):
@@ -301,7 +301,7 @@ def judged_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     hubs = sets.filter("hub").select(F.col("id").alias("hub"), F.col("values").alias("hub_values"))
     both = stars.join(sets.select("id", "values"), "id").join(hubs, "hub")
-    return both.mapInPandas(_judge_stars(percent), STAR)
+    return both.mapInPandas(lean(_judge_stars(percent)), STAR)
 
 
 def judged_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -318,7 +318,7 @@ def judged_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     some = narrowed(sets.select("id", "values"), ends, "id")
     end = lambda x: some.select(F.col("id").alias(x), F.col("values").alias(f"values_{x}"))
-    return pairs.join(end("a"), "a").join(end("b"), "b").mapInPandas(run, "a long, b long")
+    return pairs.join(end("a"), "a").join(end("b"), "b").mapInPandas(lean(run), "a long, b long")
 
 
 def judged_pairs(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
@@ -341,7 +341,7 @@ def judged_pairs(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
     end = lambda x: some.select("hub", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"))
     rows = pairs.join(end("a"), ["hub", "a"]).join(end("b"), ["hub", "b"])
     return rows.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), "apart_a", "apart_b").mapInPandas(
-        run, "a long, b long"
+        lean(run), "a long, b long"
     )
 
 
@@ -412,7 +412,7 @@ def frequent(sets: DataFrame) -> list[tuple[int, np.ndarray]]:
                 yield pd.DataFrame({"value": spread(pdf["values"].iloc[part])[0]})
 
     some = sets.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).select("values")
-    counts = stage(some.mapInPandas(run, "value long").groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
+    counts = stage(some.mapInPandas(lean(run), "value long").groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"))
     most = counts.agg(F.max("df")).first()[0] or 0
     found, above = [], 2
     while above <= most:
@@ -452,7 +452,7 @@ def fronts(
         out = pdf[["id", "component", "outside"]].assign(n=sizes).iloc[row[keep]]
         return out.assign(left=left[keep], value=value[keep])
 
-    return sets.select("id", "component", "outside", "values").mapInPandas(run, FRONT)
+    return sets.select("id", "component", "outside", "values").mapInPandas(lean(run), FRONT)
 
 
 def rare_first(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

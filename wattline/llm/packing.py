@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import chunks
-from wattline.llm.tokens import encoder
+from wattline.llm.common import chunks, give_back, lean
+from wattline.llm.tokens import encoder, forget
 from wattline.sources.sinks import stage
 
 LENGTH = 2048
@@ -36,8 +36,11 @@ TOKENIZER = "word_bpe_49k.json"
 CHARS = 2_000_000
 
 
-def cut(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
-    """Pieces of (doc_id, text): piece, start, length, ids_crc32."""
+def cut(docs: DataFrame, tokenizer: str, length: int, keep: bool = True) -> DataFrame:
+    """Pieces of (doc_id, text): piece, start, length, ids_crc32.
+
+    Workers keep their encoders for their next tasks, or not.
+    """
 
     def run(batches: Iterator[pd.DataFrame]):
         ids_of = encoder(tokenizer).encode
@@ -51,8 +54,11 @@ def cut(docs: DataFrame, tokenizer: str, length: int) -> DataFrame:
                         here = raw[at : at + 4 * length]
                         rows.append((ids[i], piece, at // 4, len(here) // 4, zlib.crc32(here)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if not keep:
+            del ids_of
+            forget()
 
-    return docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.mapInPandas(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(
@@ -114,6 +120,7 @@ def _packer(tokens, documents, cost, weights, rule):
         offset = before - np.maximum.accumulate(np.where(first, before, 0))
         pdf = pdf.assign(bin=bins, fill=np.bincount(bins, lengths)[bins] / tokens)
         pdf.loc[order, "offset"] = offset
+        give_back()
         return pdf.astype({"offset": "int64"})
 
     return run
@@ -133,6 +140,7 @@ def pack(
     weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
     sequences: int = SEQUENCES,
+    keep: bool = True,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -140,6 +148,7 @@ def pack(
     costs ``cost`` alone) are cut.  Null texts
     are empty and give the 0 alone.  Without ``documents`` and ``cost`` the capacities are
     as many pieces and as much cost as a sequence of ``length`` tokens can have at all.
+    Without ``keep`` each task loads its encoder, and workers that wait hold none.
     Rows that repeat a document are packed as often as they come.  An empty table gives no
     rows; other columns are not read.
     """
@@ -148,7 +157,7 @@ def pack(
     same = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # Equal rows are counted and dealt one by one, so that they spread over the groups.
     cost = cost or float(length) ** 2
-    left = stage(cut(rows, tokenizer, min(length, math.isqrt(int(cost)))).groupBy(*same).agg(F.count("*").alias("n")))
+    left = stage(cut(rows, tokenizer, min(length, math.isqrt(int(cost))), keep).groupBy(*same).agg(F.count("*").alias("n")))
     left = left.select(*same, F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("nth"))
     run = _packer(length, documents or length, cost, weights, rule)
     done = None

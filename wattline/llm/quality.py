@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattline.llm.common import chunks, held_out
+from wattline.llm.common import chunks, give_back, held_out, lean
 from wattline.llm.hashing import mix
 from wattline.llm.textstats import DIGIT, LETTER, MARK, SIGN, SPACE, UPPER, Texts, span_hashes, sums
 from wattline.llm.tokens import forget
@@ -205,7 +205,7 @@ def chains_of(docs: DataFrame, share: float) -> DataFrame:
                     }
                 )
 
-    return docs.mapInPandas(run, "id long, label int, place long, lines int, features binary")
+    return docs.mapInPandas(lean(run), "id long, label int, place long, lines int, features binary")
 
 
 def means_of(docs: DataFrame, weight, trans) -> DataFrame:
@@ -218,7 +218,7 @@ def means_of(docs: DataFrame, weight, trans) -> DataFrame:
                 mean = document_means(*line_features(here["text"].tolist()), weight, trans)
                 yield pd.DataFrame({"label": here["label"].to_numpy(), "mean": mean})
 
-    return docs.mapInPandas(run, "label int, mean double")
+    return docs.mapInPandas(lean(run), "label int, mean double")
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
@@ -251,6 +251,7 @@ def score(docs: DataFrame, model, text: str = "text", name: str = "score") -> Da
             texts = texts.fillna("").tolist()
             out = [document_scores([texts[i] for i in part], model) for part in chunks(texts, CHARS)]
             yield pd.Series(np.concatenate(out) if out else [], dtype=float)
+        give_back()
 
     return docs.withColumn(name, quality(F.col(text)))
 

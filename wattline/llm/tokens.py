@@ -14,6 +14,8 @@ import types
 
 import numpy as np
 
+from wattline.llm.common import give_back
+
 # Bytes that a worker's remembered pieces, and words that need the whole tokenizer, may take, with
 # ``ENTRY`` bytes for each besides its text and ids.  Long ones are not remembered.
 REMEMBERED, ENTRY, LONG = 48_000_000, 200, 64
@@ -133,6 +135,7 @@ def encoder(name: str) -> Encoder:
     key = "encoder " + name
     if key not in vars(kept):
         vars(kept)[key] = Encoder(name)
+        give_back()  # loading takes as much again
     return vars(kept)[key]
 
 
