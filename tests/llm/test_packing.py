@@ -38,6 +38,35 @@ def test_forgetting_changes_nothing(monkeypatch, tokenizer):
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_remembered_pieces_are_small_and_those_seen_once_go_first(monkeypatch):
+    monkeypatch.setattr("wattline.llm.tokens.REMEMBERED", 1_500_000)
+    own = Encoder(packing.TOKENIZER)
+    often = " ".join(f"often{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(100))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    for turn in range(4):
+        once = " ".join(str(10**6 * (turn + 1) + i) for i in range(5_000)).translate(letters)
+        own.encode([often + " " + once])
+        parts = own.parts
+        assert parts.texts.nbytes + parts.ids.nbytes < 60 * len(parts.texts)
+    assert {"oftenaa", "oftenvd"} <= set(parts.texts.to_pylist()) and len(parts.texts) < 11_000
+
+
+def test_the_tokenizer_gets_each_piece_of_a_batch_once(monkeypatch):
+    own = Encoder(packing.TOKENIZER)
+    given = []
+    tokenizer = own.parts.tokenizer
+
+    class Counting:
+        def encode(self, text, **options):
+            given.extend(text.split())
+            return tokenizer.encode(text, **options)
+
+    own.parts.tokenizer = Counting()
+    own.encode(["Good, better, good. ", " GOOD 'good' better"] * 50)
+    own.encode(["better good"])
+    assert sorted(given) == sorted({"good", "better", ",", ".", "'"})
+
+
 @pytest.mark.parametrize("options", [{}, {"length": 64, "sequences": 3}, {"length": 32, "sequences": 2, "documents": 3, "cost": 700.0, "rule": "dot"}])
 def test_pieces_and_sequences(odd, tokenizer, options):
     length = options.get("length", 2048)

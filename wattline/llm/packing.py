@@ -33,21 +33,23 @@ SEQUENCES = 1024
 FILL, ROUNDS = 0.97, 2
 WEIGHTS = (1.0, 0.01, 0.01)
 TOKENIZER = "word_bpe_49k.json"
-CHARS = 2_000_000
+# Characters that a worker encodes at once; fewer where it has little memory.
+CHARS, FEW_CHARS = 4_000_000, 500_000
 
 
 def cut(docs: DataFrame, tokenizer: str, length: int, keep: bool = True) -> DataFrame:
     """Pieces of (doc_id, text): piece, start, length, ids_crc32.
 
-    Workers keep their encoders for their next tasks, or not.
+    Workers keep their encoders for their next tasks and take large portions, or neither.
     """
+    portion = CHARS if keep else FEW_CHARS
 
     def run(batches: Iterator[pd.DataFrame]):
         ids_of = encoder(tokenizer).encode
         for pdf in batches:
             ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
             rows = []
-            for part in chunks(texts, CHARS):
+            for part in chunks(texts, portion):
                 for i, raw in zip(part, ids_of([texts[i] for i in part])):
                     raw += bytes(4)
                     for piece, at in enumerate(range(0, len(raw), 4 * length)):
