@@ -267,3 +267,19 @@ def test_weather_join_is_dealt_by_site_and_instant(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert re.search(r"hashpartitioning\(site_id#\d+, timestamp#\d+", plan)
+
+
+@pytest.mark.parametrize("long_gaps", ["partial", "skip"])
+def test_dataset_stores_readings_and_fills_as_the_grid_would(spark, small_blocks, monkeypatch, long_gaps):
+    stored = []
+    monkeypatch.setattr("wattline.plans.dataset.stage", lambda df: stored.append(df) or df)
+    pdf = gappy(n=200, sites=("A", "B"))
+    pdf = pdf[(np.arange(len(pdf)) % 50 < 20) | (np.arange(len(pdf)) % 7 == 0)]  # half the instants have no row at all
+    pdf.loc[pdf.index[5], "timestamp"] += pd.Timedelta(minutes=7)
+    meter = to_spark(spark, pdf.assign(unit="kWh"))
+    got = rows(build_dataset(meter, max_gap=3, long_gaps=long_gaps))
+    grid = reindex_to_grid(meter, "30min")
+    want = rows(interpolate_short_gaps(grid, max_gap=3, long_gaps=long_gaps, grid="30min", outlier_z=5.0))
+    pd.testing.assert_frame_equal(got, want[got.columns])
+    # A stored row is a reading or the head of a block; the instants between them are not stored.
+    assert stored[0].count() < 0.75 * len(got)
