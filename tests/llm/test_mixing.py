@@ -91,3 +91,13 @@ def test_empty_table(none):
 def test_shares_beyond_a_cap_go_to_the_others():
     got = mixing.targets_of(np.array([10.0, 100.0, 1000.0]), np.array([3.0, 1.0, 2.0]), 1.5, 2.0)
     assert got.tolist() == pytest.approx([20, 200, 1445])
+
+
+def test_small_tables_are_sent_without_python_workers(spark):
+    sizes = spark.range(4).selectExpr("nullif(id % 2, 1) AS source", "id + 1 AS size", "1L AS n")
+    per_source = mixing.source_targets(sizes.withColumn("source", sizes.source.cast("string")), (3, 1, 2), 1.5, 2.0)
+    assert [f.simpleString() for f in per_source.schema] == [
+        "place:int", "source:string", "source_size:bigint", "target:double", "scale:double"
+    ]
+    assert "ExistingRDD" not in per_source._jdf.queryExecution().executedPlan().toString()
+    assert [(r.place, r.source, r.source_size) for r in per_source.collect()] == [(0, "0", 4), (1, None, 6)]

@@ -1,3 +1,4 @@
+import os
 import random
 from collections import defaultdict
 
@@ -5,8 +6,9 @@ import numpy as np
 import pytest
 
 from tests_llm_shared import frame, texts_of
-from wattline.llm import neardup
+from wattline.llm import exact, mixing, neardup
 from wattline.llm.components import components
+from wattline.sources.sinks import stage
 
 
 def find(parent, x):
@@ -206,3 +208,25 @@ def test_sets_outside_are_listed_under_their_first_values(spark):
     # The passage comes last, so the crowd's pairs are few, and a set makes a fifth of its size in rows.
     front = neardup.fronts(sets_df.join(members, "id"), 80, neardup.frequent(sets_df))
     assert pairs.count() < 1000 and front.count() <= sum(len(x) // 5 + 1 for x in sets)
+
+
+def test_a_task_that_stores_rows_has_one_python_worker(spark, monkeypatch):
+    plans = []
+
+    def noted(df, path=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, path)
+
+    monkeypatch.setattr(neardup, "stage", noted)
+    sets = spark.createDataFrame([(1, [1, 2]), (2, [1, 3])], "id long, sketch array<long>")
+    neardup.alike(spark.createDataFrame([(1, 2)], "a long, b long"), sets, 80, 64).count()
+    assert [p.count("MapInPandas") for p in plans] == [1]
+
+
+@pytest.mark.parametrize("run", [neardup.drop_near_copies, mixing.repeat, exact.drop_exact_copies])
+def test_stages_of_the_pipeline_leave_one_table(spark, monkeypatch, tmp_path, run):
+    df = frame(spark, [(i, t, None, None, None) for i, t in corpus(7, 10, 20)])
+    base = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(base))
+    rows = run(df)
+    assert len(set(os.listdir(base)) - before) == 1 and rows.count() > 0

@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sent(spark: SparkSession, rows: list[tuple], **kinds) -> DataFrame:
+    """A small table of the driver's rows, with Arrow types by column.
+
+    Spark gets it as Arrow data; rows alone would be unpacked in Python workers of their own.
+    """
+    import pyarrow as pa
+
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds.values(), strict=True)]
+    return spark.createDataFrame(pa.table(arrays, names=list(kinds)))
+
+
 def crc_of(column: str) -> Column:
     """crc32 of an integer's decimal text, the rule that sets rows aside for tests."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

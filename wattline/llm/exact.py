@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.llm.common import SPACE_RUN, buckets_for
-from wattline.sources.sinks import stage
+from wattline.sources.sinks import passing, shared_dir, stage
 
 # Distinct digests of the history in one bucket of the index.
 PER_BUCKET = 50_000
@@ -227,12 +227,16 @@ def drop_exact_copies(
     per_bucket: int = PER_BUCKET,
 ) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    rows = digest_rows(docs, id_, text, even_half(id_) if historical is None else historical)
-    winners = stage(
-        decisions(rows, per_bucket)
-        .filter("id = keep_id")
-        .select(F.col("id").alias("won_id"), F.col("digest").alias("won"), "n")
-    )
+    spark = docs.sparkSession
+    at = shared_dir(spark)
+    with passing(spark):
+        rows = digest_rows(docs, id_, text, even_half(id_) if historical is None else historical)
+        winners = stage(
+            decisions(rows, per_bucket)
+            .filter("id = keep_id")
+            .select(F.col("id").alias("won_id"), F.col("digest").alias("won"), "n"),
+            at,
+        )
     whole = docs.select(
         F.struct("*").alias("row"),
         F.coalesce(F.col(id_), F.lit(LAST)).alias("own_id"),

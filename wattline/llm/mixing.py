@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import WORD
-from wattline.sources.sinks import stage
+from wattline.llm.common import WORD, sent
+from wattline.sources.sinks import passing, shared_dir, stage
 
 # Contract of the query: weights in order of the sources, share of all tokens, cap.
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
@@ -84,7 +85,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
         (i, x, int(s), float(t), float(s) / max(1, int(n)))
         for i, (x, s, n, t) in enumerate(zip(per["name"], per["source_size"], per["n"], target, strict=True))
     ]
-    return spark.createDataFrame(rows, "place int, source string, source_size long, target double, scale double")
+    kinds = {"place": pa.int32(), "source": pa.string(), "source_size": pa.int64(), "target": pa.float64(), "scale": pa.float64()}
+    return sent(spark, rows, **kinds)
 
 
 def rate_of(multiplier: Column, size: Column, scale: Column, cap: float) -> Column:
@@ -110,9 +112,12 @@ def solve(sizes: DataFrame, per_source: DataFrame, cap: float, steps: int = STEP
     for _ in range(steps):
         if not open_.any():
             break
-        state = spark.createDataFrame(
+        state = sent(
+            spark,
             [(int(p), float(m), float(s)) for p, m, s, o in zip(known["place"], multiplier, known["scale"], open_, strict=True) if o],
-            "place int, multiplier double, scale double",
+            place=pa.int32(),
+            multiplier=pa.float64(),
+            scale=pa.float64(),
         )
         rate = rate_of(F.col("multiplier"), F.col("size"), F.col("scale"), cap)
         tokens = F.col("n") * F.col("size")
@@ -141,7 +146,7 @@ def solve(sizes: DataFrame, per_source: DataFrame, cap: float, steps: int = STEP
                 step = (low[p] + high[p]) / 2 if np.isfinite(low[p] + high[p]) else multiplier[p] + (4.0 if miss < 0 else -4.0)
             multiplier[p] = step
     rows = [(int(p), float(m)) for p, m in zip(known["place"], multiplier, strict=True)]
-    return per_source.join(F.broadcast(spark.createDataFrame(rows, "place int, multiplier double")), "place")
+    return per_source.join(F.broadcast(sent(spark, rows, place=pa.int32(), multiplier=pa.float64())), "place")
 
 
 def chance(*columns: Column) -> Column:
@@ -279,16 +284,20 @@ def taken(mixed: DataFrame) -> DataFrame:
 
 def repeat(docs: DataFrame, id_: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents as often as the mix takes them, with all their columns."""
-    mixed = stage(
-        mix(docs, id_=id_, text=text, source=source, **options)
-        .filter("copies > 0")
-        .select(
-            F.col("doc_id").alias("mixed_id"),
-            F.col("source").alias("mixed_source"),
-            F.col("size").alias("mixed_size"),
-            "copies",
+    spark = docs.sparkSession
+    at = shared_dir(spark)
+    with passing(spark):
+        mixed = stage(
+            mix(docs, id_=id_, text=text, source=source, **options)
+            .filter("copies > 0")
+            .select(
+                F.col("doc_id").alias("mixed_id"),
+                F.col("source").alias("mixed_source"),
+                F.col("size").alias("mixed_size"),
+                "copies",
+            ),
+            at,
         )
-    )
     whole = docs.select(
         F.struct("*").alias("row"),
         F.col(id_).alias("own_id"),

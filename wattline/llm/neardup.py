@@ -37,7 +37,7 @@ from wattline.llm.common import chunks, lean
 from wattline.llm.components import components
 from wattline.llm.hashing import byte_values, mix, run_hashes, seeds, word_hashes
 from wattline.llm.tokens import forget
-from wattline.sources.sinks import remove, shared_dir, stage
+from wattline.sources.sinks import passing, remove, shared_dir, stage
 
 K = 64
 SIGMAS = 4.25
@@ -184,16 +184,20 @@ def has(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def narrowed(df: DataFrame, wanted: DataFrame, *keys: str) -> DataFrame:
-    """The rows of ``df`` with keys in ``wanted``, and few others, without a shuffle."""
+def narrowed(df: DataFrame, wanted: DataFrame, *keys: str, made=None, schema: str | None = None) -> DataFrame:
+    """The rows of ``df`` with keys in ``wanted``, and few others, without a shuffle.
+
+    ``made`` turns them into rows of ``schema`` on the way, so that a task has one Python worker, not two.
+    """
     size, mine = bits_of(wanted, *keys)
+    made = made or (lambda pdf: pdf)
 
     def run(batches):
         forget()
         for pdf in batches:
-            yield pdf[has(mine, pdf["at"].to_numpy())].drop(columns="at")
+            yield made(pdf[has(mine, pdf["at"].to_numpy())].drop(columns="at"))
 
-    return df.withColumn("at", slot(size, *keys)).mapInPandas(lean(run), df.schema)
+    return df.withColumn("at", slot(size, *keys)).mapInPandas(lean(run), schema or df.schema)
 
 
 def full_sets(docs: DataFrame, width: int, wanted: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -242,9 +246,8 @@ def alike(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFr
     t = percent / 100
     floor = t - SIGMAS * (t * (1 - t) / k) ** 0.5
 
-    def pack(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "small": [np.asarray(x, "<i8").tobytes() for x in pdf["sketch"]]})
+    def small_of(pdf):
+        return pd.DataFrame({"id": pdf["id"], "small": [np.asarray(x, "<i8").tobytes() for x in pdf["sketch"]]})
 
     def run(batches):
         for pdf in batches:
@@ -261,7 +264,7 @@ def alike(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFr
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    small = stage(narrowed(sketches.select("id", "sketch"), ends, "id").mapInPandas(lean(pack), "id long, small binary"))
+    small = stage(narrowed(sketches.select("id", "sketch"), ends, "id", made=small_of, schema="id long, small binary"))
     end = lambda x: small.select(F.col("id").alias(x), F.col("small").alias(f"small_{x}"))
     return pairs.select("a", "b").join(end("a"), "a").join(end("b"), "b").mapInPandas(lean(run), "a long, b long")
 
@@ -316,7 +319,7 @@ def judged_sets(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pdf.loc[np.array(linked, bool), ["a", "b"]]
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = narrowed(sets.select("id", "values"), ends, "id")
+    some = stage(narrowed(sets.select("id", "values"), ends, "id"))
     end = lambda x: some.select(F.col("id").alias(x), F.col("values").alias(f"values_{x}"))
     return pairs.join(end("a"), "a").join(end("b"), "b").mapInPandas(lean(run), "a long, b long")
 
@@ -337,7 +340,7 @@ def judged_pairs(pairs: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
             yield pdf.loc[close(np.array(apart, dtype=np.int64), pdf["both"].to_numpy(), percent), ["a", "b"]]
 
     ends = pairs.select("hub", F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = narrowed(stars.select("hub", "id", "n", "apart"), ends, "hub", "id")
+    some = stage(narrowed(stars.select("hub", "id", "n", "apart"), ends, "hub", "id"))
     end = lambda x: some.select("hub", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("apart").alias(f"apart_{x}"))
     rows = pairs.join(end("a"), ["hub", "a"]).join(end("b"), ["hub", "b"])
     return rows.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("both"), "apart_a", "apart_b").mapInPandas(
@@ -581,8 +584,10 @@ def near_duplicates(
 
 def drop_near_copies(docs: DataFrame, id_: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
-    gone = stage(
-        near_duplicates(docs, id_, text, **options).filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    )
+    spark = docs.sparkSession
+    at = shared_dir(spark)
+    with passing(spark):
+        near = near_duplicates(docs, id_, text, **options)
+        gone = stage(near.filter("not kept").select(F.col("doc_id").alias("gone")).distinct(), at)
     whole = docs.select(F.struct("*").alias("row"), F.col(id_).alias("own_id"))
     return whole.join(gone, F.col("own_id") == F.col("gone"), "left_anti").select("row.*")
