@@ -310,3 +310,34 @@ def test_rows_without_a_time_are_in_no_series(spark):
     )
     out = add_target_lags(to_spark(spark, pdf), lags=(1,)).toPandas().set_index("value")
     assert np.isnan(out.value_lag_1[9.0]) and out.value_lag_1[2.0] == 1.0
+
+
+@pytest.mark.parametrize("lookback", [3, 11])
+def test_readings_are_put_on_the_grid_within_the_look_back(spark, small_blocks, lookback):
+    from wattline.operators.cleaning import reindex_to_grid
+
+    rng = np.random.default_rng(lookback)
+    stamps = pd.date_range("2024-12-30 00:10", periods=90, freq="30min", tz="UTC")
+    known = [(s, t, float(rng.integers(0, 50))) for s in ("A", "B") for t in stamps[rng.random(90) < 0.3]]
+    known += [("A", stamps[3] + pd.Timedelta("7min"), 5.0), ("C", stamps[50], None), (None, stamps[4], 1.0), ("B", None, 2.0)]
+    far = pd.Timestamp("1969-12-30 23:40", tz="UTC")
+    known += [("D", far, 1.0), ("D", far + pd.Timedelta("20h"), 2.0), ("D", far + pd.Timedelta("31h"), 3.0)]
+    df = spark.createDataFrame(
+        [(s, None if t is None else t.to_pydatetime(), v) for s, t, v in known], "site_id string, timestamp timestamp, value double"
+    )
+    on = {"grid": "30min"}
+    both = []
+    for table, more in ((reindex_to_grid(df), {}), (df, {"reindex": True})):
+        rolled = add_rolling_features(table, windows=(2, lookback), stats=("mean", "std", "min"), **on, **more)
+        lagged = add_target_lags(table, lags=(1, lookback), **on, **more)
+        both.append((rolled, lagged))
+    deals = lambda x: x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(site_id")
+    assert [deals(fused) for fused in both[1]] == [deals(plain) - 1 for plain in both[0]]
+    for plain, fused in zip(*both):
+        assert fused.columns == plain.columns
+        pd.testing.assert_frame_equal(rows(fused), rows(plain))
+
+
+def test_reindex_needs_a_grid_and_sites(panel):
+    with pytest.raises(ValueError):
+        add_rolling_features(panel, reindex=True)
