@@ -38,7 +38,7 @@ def tables(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["backtest_gbt", "backtest_gbt_tree", "forecast_horizon_gbt", "gbt_fit"])
+@pytest.mark.parametrize("name", ["backtest_gbt", "backtest_gbt_tree", "forecast_horizon_gbt", "gbt_fit", "gbt_leafwise_tree"])
 def test_query_equals_sql_on_rows_built_here(spark, tables, name):
     folder, con = tables
     _, text, same = compare(spark, con, name, str(folder))
